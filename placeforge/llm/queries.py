@@ -5,16 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from placeforge.llm import pieces
 from placeforge.llm.common import read_table
+from placeforge.llm.secrets import find_secrets
 from placeforge.llm.simhash import near_duplicates
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def count(kind: str):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    one = F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return find_secrets(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", count("assign"), count("access"), count("hex"), "base_sha256", F.array_join(one, ",").alias("spans"), count("lexed")
+    )
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secrets": op3_secrets,
+    "op4_pieces": op4_pieces,
     "op6_simhash": op6_simhash,
 }
 

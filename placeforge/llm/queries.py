@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeforge.llm import pieces
+from placeforge.llm import mtree, pieces, pstable, urls
 from placeforge.llm.common import read_table
 from placeforge.llm.secrets import find_secrets
 from placeforge.llm.simhash import near_duplicates
 
 
+RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages"), urls.parse_rules(RULES))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str):
         return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -31,10 +38,41 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return pstable.search(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+def op9_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return mtree.search(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_urls": op2_urls,
     "op3_secrets": op3_secrets,
     "op4_pieces": op4_pieces,
     "op6_simhash": op6_simhash,
+    "op7_pstable": op7_pstable,
+    "op9_mtree": op9_mtree,
 }
 
-ORACLES: dict[str, str] = {}
+#: The whole numbers' products are exact in either engine.
+_OP9 = """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS y
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.y AS DOUBLE[]), CAST(c.y AS DOUBLE[])) AS BIGINT) AS score
+  FROM good q JOIN good c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.y) = len(c.y)
+), once AS (
+  SELECT query_id, vec_id, max(score) AS score FROM pairs GROUP BY query_id, vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM once
+QUALIFY rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op9_mtree": _OP9}

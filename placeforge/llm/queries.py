@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeforge.llm import mtree, pieces, pstable, urls
+from placeforge.llm import mixing, mtree, pieces, pstable, tokens, urls
 from placeforge.llm.common import read_table
 from placeforge.llm.secrets import find_secrets
 from placeforge.llm.simhash import near_duplicates
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.recount(tokens.build_trees(read_table(spark, sf_dir, "documents")))
+    return counted.select("doc_id", F.col("tokens_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_edited"), "encoded_chars")
+
+
 RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
 
 
@@ -48,22 +53,29 @@ def op9_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.search(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.labelled_documents(docs, read_table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tokens": op1_tokens,
     "op2_urls": op2_urls,
     "op3_secrets": op3_secrets,
     "op4_pieces": op4_pieces,
     "op6_simhash": op6_simhash,
     "op7_pstable": op7_pstable,
     "op9_mtree": op9_mtree,
+    "op10_mixing": op10_mixing,
 }
 
 #: The whole numbers' products are exact in either engine.
 _OP9 = """
 WITH good AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS y
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS y
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
 ), pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.y AS DOUBLE[]), CAST(c.y AS DOUBLE[])) AS BIGINT) AS score
   FROM good q JOIN good c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.y) = len(c.y)

@@ -15,8 +15,10 @@ their UTF-8 bytes' pieces.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -29,7 +31,7 @@ MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 #: Texts are taken together up to so many characters; distinct words kept per worker.
-_BLOCK_CHARS, _KEEP_WORDS = 8_000_000, 400_000
+_BLOCK_CHARS, _KEEP_WORDS = 8_000_000, 350_000
 _NEVER = float("inf")
 
 
@@ -152,64 +154,75 @@ class Lexicon:
 
     # -- forward columns ------------------------------------------------------
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
+    def encode_words(self, words: list[str]) -> dict[str, array]:
         """Ids of each word; ``words`` may hold repeats."""
-        out: dict[str, list[int]] = {}
-        step = self._step_bpe if self.kind == "bpe" else self._step_unigram
-        columns: list[tuple] = [("", 0, 0.0)]  # (last piece or None for bytes, its start, score)
+        out: dict[str, array] = {}
+        ids, bpe = self.ids, self.kind == "bpe"
+        advance = self._advance_bpe if bpe else self._advance_unigram
+        longest = max(map(len, words), default=0)
+        # columns by prefix length: last piece ("" at the start, None for bytes), score
+        last: list[str | None] = [""] * (longest + 1)
+        score = [0.0] * (longest + 1)
         before = ""
         for word in sorted(set(words)):
-            if self.kind == "bpe" and word.startswith(MARK * 2):
+            if bpe and word.startswith(MARK * 2):
                 # runs of marks have pieces of one score: their merges are done as such
-                out[word] = [i for p in self.merges(word)[0] for i in ([self.ids[p]] if p in self.ids else self.fallback(p))]
+                out[word] = array("i", [i for p in self.merges(word)[0] for i in ([ids[p]] if p in ids else self.fallback(p))])
                 continue
             shared = 0
             for x, y in zip(word, before, strict=False):
                 if x != y:
                     break
                 shared += 1
-            del columns[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                columns.append(step(word, end, columns))
+            advance(word, shared + 1, last, score)
             before = word
             found: list[int] = []
             at = len(word)
             while at:
-                piece, start, _ = columns[at]
-                found += reversed(self.fallback(word[start:at])) if piece is None else (self.ids[piece],)
-                at = start
-            out[word] = found[::-1]
+                piece = last[at]
+                if piece is None:
+                    at -= 1
+                    found += reversed(self.fallback(word[at]))
+                else:
+                    found.append(ids[piece])
+                    at -= len(piece)
+            found.reverse()
+            out[word] = array("i", found)
         return out
 
-    def _step_bpe(self, word: str, end: int, columns: list[tuple]) -> tuple:
-        splits, memo = self.splits, self._memo
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if piece not in splits:
-                continue
-            last = columns[start][0]
-            if not last:  # the word's start, or bytes: nothing merges with them
-                return piece, start, 0.0
-            key = (last, piece)
-            if (ok := memo.get(key)) is None:
-                if len(memo) > 1_000_000:
-                    memo.clear()
-                ok = memo[key] = self.follows(last, piece)
-            if ok:
-                return piece, start, 0.0
-        return None, end - 1, 0.0
-
-    def _step_unigram(self, word: str, end: int, columns: list[tuple]) -> tuple:
-        best = None
-        for start in range(max(0, end - self.longest), end):
-            k = self.ids.get(word[start:end])
-            if k is not None and (best is None or columns[start][2] + self.scores[k] > best[2]):
-                best = (word[start:end], start, columns[start][2] + self.scores[k])
-        if end and self.ids.get(word[end - 1]) is None:
-            unknown = columns[end - 1][2] + min(self.scores, default=0.0) - 10.0
-            if best is None or unknown > best[2]:
-                best = (None, end - 1, unknown)
-        return best
+    def _advance_bpe(self, word: str, first: int, last: list, score: list) -> None:
+        """Fills the columns of the prefixes of ``word`` from length ``first`` on."""
+        splits, memo, longest = self.splits, self._memo, self.longest
+        for end in range(first, len(word) + 1):
+            for begin in range(end - longest if end > longest else 0, end):
+                piece = word[begin:end]
+                if piece in splits:
+                    # at the word's start, and next to bytes, nothing merges with it
+                    if not (held := last[begin]):
+                        last[end] = piece
+                        break
+                    ok = memo.get((held, piece))
+                    if ok is None:
+                        if len(memo) > 1_000_000:
+                            memo.clear()
+                        ok = memo[held, piece] = self.follows(held, piece)
+                    if ok:
+                        last[end] = piece
+                        break
+            else:
+                last[end] = None
+
+    def _advance_unigram(self, word: str, first: int, last: list, score: list) -> None:
+        worst = min(self.scores, default=0.0) - 10.0
+        for end in range(first, len(word) + 1):
+            best = None
+            for begin in range(max(0, end - self.longest), end):
+                k = self.ids.get(word[begin:end])
+                if k is not None and (best is None or score[begin] + self.scores[k] > best[1]):
+                    best = (word[begin:end], score[begin] + self.scores[k])
+            if word[end - 1] not in self.ids and (best is None or score[end - 1] + worst > best[1]):
+                best = (None, score[end - 1] + worst)
+            last[end], score[end] = best
 
     def decode(self, ids: list[int]) -> str:
         table = self.bytes_of
@@ -223,39 +236,49 @@ def marked(text: str) -> list[str]:
 
 
 class _Encoder:
-    """Encodes blocks of texts; keeps the ids of words seen, up to a bound."""
+    """Encodes blocks of texts; keeps the ids of words seen lately, up to a bound."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.ends = [0]
-
-    def add(self, words: list[str]) -> None:
-        fresh = self.lexicon.encode_words([w for w in set(words) if w not in self.index])
-        for w, ids in fresh.items():
-            self.index[w] = len(self.index)
-            start, end = self.ends[-1], self.ends[-1] + len(ids)
-            if end > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)))
-            self.flat[start:end] = ids
-            self.ends.append(end)
+        #: words of this and of the former generation
+        self.young: dict[str, array] = {}
+        self.old: dict[str, array] = {}
+
+    def lists(self, words: list[str]) -> list[array]:
+        """Ids of distinct words."""
+        young, old = self.young, self.old
+        if len(young) > _KEEP_WORDS:
+            self.old = old = young
+            self.young = young = {}
+        fresh = []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    fresh.append(w)
+        young |= self.lexicon.encode_words(fresh)
+        return [young[w] for w in words]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offset of each text's."""
+        gc.disable()  # much is kept and nothing is cyclic: walks over it would find no garbage
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         per_text = [marked(x or "") for x in texts]
         words = [w for x in per_text for w in x]
-        if len(self.index) > _KEEP_WORDS:
-            self.forget()
-        self.add(words)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        ends = np.array(self.ends, np.int64)
+        index = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        held = self.lists(list(index))
+        flat = np.frombuffer(b"".join(held), np.int32) if held else np.zeros(0, np.int32)
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, held), np.int64, len(held)))))
+        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
         sizes = ends[at + 1] - ends[at]
         total = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.flat[np.repeat(ends[at] - total[:-1], sizes) + np.arange(total[-1])]
+        ids = flat[np.repeat(ends[at] - total[:-1], sizes) + np.arange(total[-1])]
         return ids, total[np.concatenate(([0], np.cumsum([len(x) for x in per_text], dtype=np.int64)))]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeforge.llm import mixing, mtree, pieces, pstable, tokens, urls
+from placeforge.llm import lm, mixing, mtree, pieces, pstable, tokens, urls
 from placeforge.llm.common import read_table
 from placeforge.llm.secrets import find_secrets
 from placeforge.llm.simhash import near_duplicates
@@ -48,6 +48,10 @@ def op7_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.search(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op8_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read_table(spark, sf_dir, "documents"), "lang")
+
+
 def op9_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return mtree.search(vectors, vectors.where("vec_id % 50 = 0"), 5)
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pieces": op4_pieces,
     "op6_simhash": op6_simhash,
     "op7_pstable": op7_pstable,
+    "op8_mixing_lm": op8_mixing_lm,
     "op9_mtree": op9_mtree,
     "op10_mixing": op10_mixing,
 }

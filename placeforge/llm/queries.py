@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeforge.llm import lm, mixing, mtree, pieces, pstable, tokens, urls
+from placeforge.llm import lm, mixing, mtree, pieces, pstable, quality, tokens, urls
 from placeforge.llm.common import read_table
 from placeforge.llm.secrets import find_secrets
 from placeforge.llm.simhash import near_duplicates
@@ -39,6 +39,10 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_urls": op2_urls,
     "op3_secrets": op3_secrets,
     "op4_pieces": op4_pieces,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_pstable": op7_pstable,
     "op8_mixing_lm": op8_mixing_lm,

@@ -170,3 +170,15 @@ def find_secrets(docs: DataFrame, threshold: float = THRESHOLD, with_text: bool
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_DDL}")
+
+
+def redacted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with every span in ``text`` replaced; the other columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = pa.array([redact(x, scan(x, threshold)) for x in batch.column(at).to_pylist()], pa.string())
+            yield batch.set_column(at, "text", texts)
+
+    return docs.mapInArrow(run, docs.schema)

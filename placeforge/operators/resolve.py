@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from placeforge.config import Settings, get_settings
 from placeforge.functions.text import NORM_VERSION, at_least, ngrams, normalize, strip_qualifiers, tokens
 from placeforge.schemas import GRANULARITY, RESPONSE
+from placeforge.sources.tables import settle
 
 #: Street types and the forms that they are compared in.
 STREET_TYPES = {"CRESCENT": "CR", "CRES": "CR", "DRIVE": "DR", "STREET": "ST", "ROAD": "RD", "AVENUE": "AV", "AVE": "AV", "LANE": "LA", "COURT": "CT", "PLACE": "PL", "TERRACE": "TCE", "HIGHWAY": "HWY", "PARADE": "PDE", "BOULEVARD": "BVD"}
@@ -137,7 +138,8 @@ def resolve(texts: DataFrame, g: Gazetteers, country_bias: str | None = None, mi
     s = settings or get_settings()
     bias = F.lit(country_bias or s.country_bias)
     asked = prepare(texts)
-    words = lexicon(g)
+    # both are used in many branches below, whose plans would else repeat them
+    words = settle(lexicon(g))
     found = spans(asked)
     keyed = found.withColumn("key", F.col("span")).unionByName(found.withColumn("key", short_type(F.col("span")))).distinct()
     hits = keyed.join(words, "key")
@@ -150,6 +152,7 @@ def resolve(texts: DataFrame, g: Gazetteers, country_bias: str | None = None, mi
         F.coalesce(F.max(F.when(F.col("kind") == "state", length)), F.lit(0)).alias("state_words"),
     )
     rows = hits.join(stated, "id").join(asked.select("id", "toks", "flat", "number_first", "number_last", "box"), "id").withColumn("size", F.size("toks"))
+    rows = settle(rows)
     agrees = lambda c, given: F.when(F.size(given) == 0, 0.0).when(F.array_contains(given, F.col(c)), 1.0).otherwise(-2.0)
     fit = agrees("postcode", "postcodes") + agrees("admin1", "states") + agrees("country", "countries")
     tie = F.log1p(F.coalesce("weight", F.lit(0.0))) / 100.0
@@ -187,6 +190,7 @@ def resolve(texts: DataFrame, g: Gazetteers, country_bias: str | None = None, mi
     every = options[0]
     for more in options[1:]:
         every = every.unionByName(more)
+    every = settle(every)
     # texts without an exact meaning: similar names
     left = asked.join(every.select("id").distinct(), "id", "left_anti")
     for rank, kind, method, least in ((9, "city", "city_fuzzy", s.fuzzy_city_min), (10, "locality", "locality_fuzzy", s.fuzzy_locality_min)):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +67,14 @@ def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     fs.delete(hadoop(old), True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Computes a frame that several others use, once, into the cluster's shared folder (``spark.checkpoint.dir``)."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():  # local sessions only
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="placeforge-"))
+    return df.checkpoint()
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Removes a table if it is there."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path

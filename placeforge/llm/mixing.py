@@ -29,9 +29,16 @@ MAX_LABELLED, MAX_DOMAINS, LEXICON, MAX_STEPS = 4000, 16, 96, 40
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
-def words_column(text: Column | str) -> Column:
-    """Lower-cased words of a text; none of a null one."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPACE), lambda w: w != "")
+def pieces_column(text: Column | str) -> Column:
+    """Lower-cased words of a text, with an empty piece where it begins or ends with white space."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), _SPACE)
+
+
+def count_column(pieces: str) -> Column:
+    """How many of the pieces are words."""
+    n = F.size(pieces)
+    first, last = F.get(pieces, F.lit(0)) == "", F.get(pieces, n - 1) == ""
+    return (n - first.cast("int") - ((n > 1) & last).cast("int")).cast("long")
 
 
 @dataclass
@@ -41,17 +48,14 @@ class Classifier:
     words: list[str] = field(default_factory=list)
     weights: list[list[float]] = field(default_factory=list)  # by word: what its presence adds for each domain
 
-    def posterior(self, words: Column) -> Column:
-        """array<double>: the posteriors in the order of ``domains``."""
+    def logs(self, words: Column) -> Column:
+        """array<double>: log-likelihoods with priors, in the order of ``domains``."""
         start = F.array(*[F.lit(p) for p in self.prior])
-        total = start
-        if self.words:
-            table = F.map_from_arrays(F.array(*map(F.lit, self.words)), F.array(*[F.array(*map(F.lit, w)) for w in self.weights]))
-            held = F.array_intersect(F.array(*map(F.lit, self.words)), words)
-            total = F.aggregate(held, start, lambda a, w: F.zip_with(a, table[w], lambda x, y: x + y))
-        high = F.array_max(total)
-        powers = F.transform(total, lambda x: F.exp(x - high))
-        return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, y: a + y))
+        if not self.words:
+            return start
+        table = F.map_from_arrays(F.array(*map(F.lit, self.words)), F.array(*[F.array(*map(F.lit, w)) for w in self.weights]))
+        held = F.array_intersect(F.array(*map(F.lit, self.words)), words)
+        return F.aggregate(held, start, lambda a, w: F.zip_with(a, table[w], lambda x, y: x + y))
 
 
 def fit_classifier(labelled: DataFrame, max_rows: int = MAX_LABELLED, lexicon: int = LEXICON) -> Classifier:
@@ -60,7 +64,7 @@ def fit_classifier(labelled: DataFrame, max_rows: int = MAX_LABELLED, lexicon: i
     size = known.count()
     if size > max_rows:
         known = known.where(unit_hash("text", "domain") < F.lit(max_rows / size))
-    known = materialise(known.select("domain", F.array_distinct(words_column("text")).alias("words")), "mix-labelled")
+    known = materialise(known.select("domain", F.array_remove(F.array_distinct(pieces_column("text")), "").alias("words")), "mix-labelled")
     rows = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain").limit(MAX_DOMAINS + 1).collect()}
     if len(rows) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
@@ -82,12 +86,17 @@ def fit_classifier(labelled: DataFrame, max_rows: int = MAX_LABELLED, lexicon: i
 
 
 def with_membership(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """Adds n_tokens and posterior."""
+    """Adds n_tokens and posterior.
+
+    Step by step: what a step uses more than once is a column before it, so
+    that no text is split and no lexicon looked up again.
+    """
     return (
-        docs.withColumn("_words", words_column(docs["text"]))
-        .withColumn("n_tokens", F.size("_words").cast("long"))
-        .withColumn("posterior", classifier.posterior(F.col("_words")))
-        .drop("_words")
+        docs.withColumn("_words", pieces_column(docs["text"]))
+        .withColumns({"n_tokens": count_column("_words"), "_logs": classifier.logs(F.col("_words"))})
+        .withColumn("_powers", F.transform("_logs", lambda x: F.exp(x - F.array_max("_logs"))))
+        .withColumn("posterior", F.transform("_powers", lambda x: x / F.aggregate("_powers", F.lit(0.0), lambda a, y: a + y)))
+        .drop("_words", "_logs", "_powers")
     )
 
 

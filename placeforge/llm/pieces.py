@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
-#: Texts are taken together up to so many characters; distinct words kept per worker.
-_BLOCK_CHARS, _KEEP_WORDS = 8_000_000, 350_000
+#: Texts are taken together up to so many characters; words of a generation and pairs of pieces kept per worker.
+_BLOCK_CHARS, _KEEP_WORDS, _KEEP_PAIRS = 4_000_000, 200_000, 300_000
 _NEVER = float("inf")
 
 
@@ -154,20 +154,24 @@ class Lexicon:
 
     # -- forward columns ------------------------------------------------------
 
-    def encode_words(self, words: list[str]) -> dict[str, array]:
-        """Ids of each word; ``words`` may hold repeats."""
-        out: dict[str, array] = {}
-        ids, bpe = self.ids, self.kind == "bpe"
+    @cached_property
+    def reached(self) -> dict[str, int]:
+        """Ids of the pieces that merging can make."""
+        return {p: self.ids[p] for p in self.splits}
+
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word, as packed 32-bit numbers; ``words`` may hold repeats."""
+        out: dict[str, bytes] = {}
+        ids, sizes, bpe = self.ids, self.sizes, self.kind == "bpe"
         advance = self._advance_bpe if bpe else self._advance_unigram
         longest = max(map(len, words), default=0)
-        # columns by prefix length: last piece ("" at the start, None for bytes), score
-        last: list[str | None] = [""] * (longest + 1)
-        score = [0.0] * (longest + 1)
+        # columns by prefix length: id of the last piece (-1 at the start, and for bytes), score
+        last, score = [-1] * (longest + 1), [0.0] * (longest + 1)
         before = ""
         for word in sorted(set(words)):
             if bpe and word.startswith(MARK * 2):
                 # runs of marks have pieces of one score: their merges are done as such
-                out[word] = array("i", [i for p in self.merges(word)[0] for i in ([ids[p]] if p in ids else self.fallback(p))])
+                out[word] = array("i", [i for p in self.merges(word)[0] for i in ([ids[p]] if p in ids else self.fallback(p))]).tobytes()
                 continue
             shared = 0
             for x, y in zip(word, before, strict=False):
@@ -179,49 +183,54 @@ class Lexicon:
             found: list[int] = []
             at = len(word)
             while at:
-                piece = last[at]
-                if piece is None:
+                k = last[at]
+                if k < 0:
                     at -= 1
                     found += reversed(self.fallback(word[at]))
                 else:
-                    found.append(ids[piece])
-                    at -= len(piece)
+                    found.append(k)
+                    at -= sizes[k]
             found.reverse()
-            out[word] = array("i", found)
+            out[word] = array("i", found).tobytes()
         return out
 
-    def _advance_bpe(self, word: str, first: int, last: list, score: list) -> None:
+    @cached_property
+    def sizes(self) -> list[int]:
+        return list(map(len, self.pieces))
+
+    def _advance_bpe(self, word: str, first: int, last: list[int], score: list[float]) -> None:
         """Fills the columns of the prefixes of ``word`` from length ``first`` on."""
-        splits, memo, longest = self.splits, self._memo, self.longest
+        reached, memo, longest = self.reached, self._memo, self.longest
         for end in range(first, len(word) + 1):
             for begin in range(end - longest if end > longest else 0, end):
-                piece = word[begin:end]
-                if piece in splits:
+                k = reached.get(word[begin:end])
+                if k is not None:
                     # at the word's start, and next to bytes, nothing merges with it
-                    if not (held := last[begin]):
-                        last[end] = piece
+                    if (held := last[begin]) < 0:
+                        last[end] = k
                         break
-                    ok = memo.get((held, piece))
+                    key = held << 32 | k
+                    ok = memo.get(key)
                     if ok is None:
-                        if len(memo) > 1_000_000:
+                        if len(memo) > _KEEP_PAIRS:
                             memo.clear()
-                        ok = memo[held, piece] = self.follows(held, piece)
+                        ok = memo[key] = self.follows(self.pieces[held], self.pieces[k])
                     if ok:
-                        last[end] = piece
+                        last[end] = k
                         break
             else:
-                last[end] = None
+                last[end] = -1
 
-    def _advance_unigram(self, word: str, first: int, last: list, score: list) -> None:
+    def _advance_unigram(self, word: str, first: int, last: list[int], score: list[float]) -> None:
         worst = min(self.scores, default=0.0) - 10.0
         for end in range(first, len(word) + 1):
             best = None
             for begin in range(max(0, end - self.longest), end):
                 k = self.ids.get(word[begin:end])
                 if k is not None and (best is None or score[begin] + self.scores[k] > best[1]):
-                    best = (word[begin:end], score[begin] + self.scores[k])
+                    best = (k, score[begin] + self.scores[k])
             if word[end - 1] not in self.ids and (best is None or score[end - 1] + worst > best[1]):
-                best = (None, score[end - 1] + worst)
+                best = (-1, score[end - 1] + worst)
             last[end], score[end] = best
 
     def decode(self, ids: list[int]) -> str:
@@ -241,10 +250,10 @@ class _Encoder:
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
         #: words of this and of the former generation
-        self.young: dict[str, array] = {}
-        self.old: dict[str, array] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def lists(self, words: list[str]) -> list[array]:
+    def lists(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words."""
         young, old = self.young, self.old
         if len(young) > _KEEP_WORDS:
@@ -274,7 +283,7 @@ class _Encoder:
         index = {w: k for k, w in enumerate(dict.fromkeys(words))}
         held = self.lists(list(index))
         flat = np.frombuffer(b"".join(held), np.int32) if held else np.zeros(0, np.int32)
-        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, held), np.int64, len(held)))))
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, held), np.int64, len(held)) // 4)))
         at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
         sizes = ends[at + 1] - ends[at]
         total = np.concatenate(([0], np.cumsum(sizes)))

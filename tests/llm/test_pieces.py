@@ -1,4 +1,5 @@
 import random
+from array import array
 
 import pytest
 import sentencepiece
@@ -47,7 +48,8 @@ def test_unigram_against_all_paths():
 
     rng = random.Random(3)
     words = ["▁" + "".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(200)]
-    for w, ids in lexicon.encode_words(words).items():
+    for w, packed in lexicon.encode_words(words).items():
+        ids = array("i", packed)
         assert "".join(pieces[i] for i in ids) == w
         assert sum(scores[i] for i in ids) == pytest.approx(best(w))
 

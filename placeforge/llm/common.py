@@ -33,17 +33,33 @@ def scratch_dir(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
+#: Tables that this process has made and not removed.
+_MADE: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back.
 
-    Lineage ends there: an executor that is lost afterwards costs no recomputation.
+    Lineage ends there: an executor that is lost afterwards costs no
+    recomputation.  Results are lazy and read these tables, so they stay until
+    ``remove_tables``.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(spark: SparkSession) -> int:
+    """Removes all tables made by ``materialise``, once the results are written; how many there were."""
+    count = len(_MADE)
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
 def unit_hash(*cols: Column | str) -> Column:
     """A number in [0, 1) that depends on the values alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) / F.lit(float(1 << 52))

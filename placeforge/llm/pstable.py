@@ -7,9 +7,11 @@ its own bucket and perturbed ones in the order of their estimated success
 (templates over the sorted distances to the slot borders).  Candidates of all
 tables are reranked by the exact inner product.
 
-Hashes, width and probes are fitted on a bounded sample (``SAMPLE_ROWS``) for
-the least work at the wanted recall; every row is indexed.  Large buckets are
-salted over several units of work, so nothing is capped.
+Tables, hashes, width and probes are fitted on a bounded sample (``SAMPLE_ROWS``
+vectors of each length) for the least work at the wanted recall; every row is
+indexed.  Where neighbours stand out the fit takes narrow buckets and few
+probes; vectors without structure need many.  Large buckets are salted over
+several units of work, so nothing is capped.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from placeforge.llm.common import unit_hash
 from placeforge.llm.vectors import best_rows, matrix, top, usable
 
 SAMPLE_ROWS, SAMPLE_QUERIES, MOST_PROBES = 2000, 200, 64
-#: (hashes, width) that a fit chooses from; the last has one bucket: a full scan.
-CHOICES = ((12, 1.0), (8, 1.0), (8, 2.0), (6, 1.5), (6, 2.0), (4, 1.5), (4, 2.0), (3, 2.0), (1, 1e9))
+#: (hashes, width) and numbers of tables that a fit chooses from; a visit costs as much as so many candidates.
+CHOICES = ((12, 1.0), (8, 1.0), (8, 2.0), (8, 3.0), (6, 1.5), (6, 2.0), (4, 1.5), (4, 2.0), (3, 1.5), (3, 2.0))
+TABLES = (2, 4, 8)
+VISIT = 30.0
 
 
 def templates(hashes: int, most: int) -> list[tuple[int, ...]]:
@@ -65,10 +69,11 @@ class Hashing:
     seed: int = 11
 
     def _random(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lines, shifts, and what makes a bucket's key; the first tables are the same for any number of them."""
         rng = np.random.default_rng([self.seed, self.dim])
-        n = self.tables * self.hashes
-        lines, shifts = rng.standard_normal((self.dim + 1, n)), rng.uniform(0, 1, n)
-        return lines, shifts, rng.integers(1, 1 << 62, self.hashes) | 1, rng.integers(1, 1 << 62, self.tables)
+        most, n = TABLES[-1], self.tables * self.hashes
+        lines, shifts = rng.standard_normal((most * self.hashes, self.dim + 1))[:n].T, rng.uniform(0, 1, most * self.hashes)[:n]
+        return lines, shifts, rng.integers(1, 1 << 62, self.hashes) | 1, rng.integers(1, 1 << 62, most)[: self.tables]
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """Bucket of each row in each table."""
@@ -93,37 +98,41 @@ class Hashing:
         return np.stack(keys, axis=2)
 
 
-def fit(sample: np.ndarray, rows: int, scale: float, k: int, recall: float, tables: int) -> Hashing:
-    """The choice with the least candidates that finds ``recall`` of the sample's nearest.
+def fit(sample: np.ndarray, rows: int, scale: float, k: int, recall: float) -> Hashing:
+    """The choice with the least work that finds ``recall`` of the sample's nearest.
 
     ``k`` of ``rows`` are as near as ``k * len(sample) / rows`` of the sample.
+    Where no choice reaches the recall, the one that comes nearest is taken.
     """
     dim, n = sample.shape[1], len(sample)
+    if n < 2:
+        return Hashing(dim, scale, TABLES[-1], *CHOICES[-1], MOST_PROBES)
     queries = np.arange(n)[:: max(1, n // SAMPLE_QUERIES)][:SAMPLE_QUERIES]
     score = sample[queries] @ sample.T
     score[np.arange(len(queries)), queries] = -np.inf
     near = max(1, min(n - 1, -(-k * n // max(rows, 1))))
     truth = np.argsort(-score, axis=1, kind="stable")[:, :near]
-    best = None
+    tried = []
     for hashes, width in CHOICES:
-        tried = Hashing(dim, scale, tables if hashes > 1 else 1, hashes, width, MOST_PROBES if hashes > 1 else 1)
-        own, probes = tried.keys(sample), tried.probe_keys(sample[queries])
+        widest = Hashing(dim, scale, TABLES[-1], hashes, width, MOST_PROBES)
+        own, probes = widest.keys(sample), widest.probe_keys(sample[queries])
         size = probes.shape[2]
-        first = np.full((tried.tables, len(queries), n), size, np.int16)
+        first = np.full((TABLES[-1], len(queries), n), size, np.int16)  # the probe that finds a row
         for p in range(size - 1, -1, -1):
-            for t in range(tried.tables):
+            for t in range(TABLES[-1]):
                 first[t][probes[:, t, p][:, None] == own[:, t][None, :]] = p
-        found_at = np.take_along_axis(first.min(axis=0), truth, axis=1)
-        for p in sorted({1, 4, 8, 16, 24, 32, 48, size}):
-            if p <= size and (found_at < p).mean() >= recall:
-                work = (first < p).sum() / len(queries) + p * tried.tables * 2  # a visit costs something too
-                if best is None or work < best[0]:
-                    best = (work, Hashing(dim, scale, tried.tables, hashes, width, p))
-                break
-    return best[1] if best else Hashing(dim, scale, 1, 1, 1e9, 1)
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.97, tables: int = 8, unit_rows: int = 8192) -> DataFrame:
+        for tables in TABLES:
+            found_at = np.take_along_axis(first[:tables].min(axis=0), truth, axis=1)
+            for p in sorted({x for x in (1, 2, 4, 8, 12, 16, 24, 32, 48) if x < size} | {size}):
+                got = (found_at < p).mean()
+                if got >= recall or p == size:
+                    work = (first[:tables] < p).sum() / len(queries) * rows / n + VISIT * tables * p
+                    tried.append((-min(got, recall), work, Hashing(dim, scale, tables, hashes, width, p)))
+                    break
+    return min(tried, key=lambda x: x[:2])[2]
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.97, unit_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest of ``vectors`` (vec_id, embedding) by inner product.
 
     Rows whose id or vector is null, whose vector is zero, or has a null or
@@ -135,16 +144,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     rows, asked = usable(vectors, zero=False), usable(queries, zero=False)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     kinds = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("scale")).collect()  # a row per length
-    total = sum(r["n"] for r in kinds)
-    share = min(1.0, SAMPLE_ROWS / total) if total else 1.0
-    sample: dict[int, list] = {}
-    for r in rows.where(unit_hash("vec_id") < F.lit(share)).select("dim", "v").limit(2 * SAMPLE_ROWS).toLocalIterator():
-        sample.setdefault(r["dim"], []).append(r["v"])
-    by_dim = {
-        r["dim"]: fit(np.array(sample[r["dim"]]), r["n"], r["scale"], k, recall, tables) if len(sample.get(r["dim"], ())) > 1
-        else Hashing(r["dim"], r["scale"], 1, 1, 1e9, 1)
-        for r in kinds
-    }
+    share = F.lit(1.0)
+    for r in kinds:
+        share = F.when(F.col("dim") == r["dim"], min(1.0, SAMPLE_ROWS / r["n"])).otherwise(share)
+    sample: dict[int, list] = {r["dim"]: [] for r in kinds}
+    for r in rows.where(unit_hash("vec_id") < share).select("dim", "v").toLocalIterator():  # so bounded
+        sample[r["dim"]].append(r["v"])
+    by_dim = {r["dim"]: fit(np.array(sample[r["dim"]]).reshape(-1, r["dim"]), r["n"], r["scale"], k, recall) for r in kinds}
 
     def spread(batches: Iterator[pa.RecordBatch], query: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:

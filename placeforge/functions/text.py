@@ -7,6 +7,7 @@ of what ``normalize`` returns needs a new ``NORM_VERSION`` and a rebuild.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -40,6 +41,11 @@ def _text(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is computed once however often the body uses it, in lambdas as well."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def transliterate(c: Column | str) -> Column:
     """ASCII look of Latin text; what has none becomes a space.  ASCII text is left as it is."""
     c = _text(c)
@@ -72,9 +78,7 @@ def strip_qualifiers(norm: Column | str) -> Column:
     Prefixes in their order, then suffixes, then again: every pass that changes
     anything takes at least one word, so there are at most as many as words.
     """
-    n = _text(norm)
     rules = F.array(*[F.struct(F.lit(p + " ").alias("text"), F.lit(True).alias("front")) for p in QUALIFIER_PREFIXES], *[F.struct(F.lit(" " + s).alias("text"), F.lit(False).alias("front")) for s in QUALIFIER_SUFFIXES])
-    passes = F.flatten(F.array_repeat(rules, F.greatest(F.size(tokens(n)), F.lit(1))))
 
     def apply(text: Column, rule: Column) -> Column:
         size, own = F.length(text), F.length(rule["text"])
@@ -82,22 +86,29 @@ def strip_qualifiers(norm: Column | str) -> Column:
         back = ~rule["front"] & F.endswith(text, rule["text"]) & (size > own)
         return F.when(front, F.substring(text, own + 1, size)).when(back, F.substring(text, F.lit(1), size - own)).otherwise(text)
 
-    return F.trim(F.aggregate(passes, n, apply))
+    def passes(n: Column) -> Column:
+        words = F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit(""))) + 1
+        return F.trim(F.aggregate(F.flatten(F.array_repeat(rules, words)), n, apply))
+
+    return _once(_text(norm), passes)
 
 
 def ngrams(toks: Column | str, max_len: int = 4) -> Column:
     """array<struct<start, end, span>>: all runs of up to ``max_len`` words, longest first, then from the left; ``end`` is exclusive."""
-    t = _text(toks)
-    n = F.size(t)
 
-    def of_length(k: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), n - k),
-            lambda s: F.struct(s.cast("int").alias("start"), (s + k).cast("int").alias("end"), F.array_join(F.slice(t, s + 1, k), " ").alias("span")),
-        )
+    def runs(t: Column) -> Column:
+        n = F.size(t)
+
+        def of_length(k: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(0), n - k),
+                lambda s: F.struct(s.cast("int").alias("start"), (s + k).cast("int").alias("end"), F.array_join(F.slice(t, s + 1, k), " ").alias("span")),
+            )
+
+        found = F.flatten(F.transform(F.sequence(F.least(n, F.lit(max_len)), F.lit(1), F.lit(-1)), of_length))
+        return F.when(n > 0, found).otherwise(F.array().cast("array<struct<start:int,end:int,span:string>>"))
 
-    found = F.flatten(F.transform(F.sequence(F.least(n, F.lit(max_len)), F.lit(1), F.lit(-1)), of_length))
-    return F.when(n > 0, found).otherwise(F.array().cast("array<struct<start:int,end:int,span:string>>"))
+    return _once(_text(toks), runs)
 
 
 def cache_key(prefix: str, raw: Column | str, *parts: Column) -> Column:

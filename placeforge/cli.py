@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from placeforge.functions.text import NORM_VERSION, normalize, strip_qualifiers
 from placeforge.operators import keys, resolve
-from placeforge.sources.tables import read_golden
+from placeforge.sources.tables import read_golden, settle
 
 TABLES = {"aliases": "alias_norm_key", "localities": "norm_key", "streets": None, "unresolved": None}
 
@@ -70,7 +70,10 @@ def main(args: list[str] | None = None) -> int:
         return 0
     golden = read_golden(spark, given.input).withColumn("id", F.monotonically_increasing_id())
     got = resolve.resolve(golden.select("id", F.col("input").alias("text")), gazetteers(spark, given.folder))
-    row = resolve.accuracy(golden, got).first()
+    cases = settle(resolve.judged(golden, got))
+    row = resolve.accuracy(cases).first()
+    for r in resolve.failures(cases).collect():  # thirty at most
+        print(f"{r['input']!r}: {r['granularity']} {r['country']} {r['admin1']} {r['locality']}")
     print(f"{row['passed']} of {row['cases']} ({row['accuracy']:.1f} %)")
     return int(row["passed"] < row["cases"])
 

@@ -235,9 +235,18 @@ def resolve(texts: DataFrame, g: Gazetteers, country_bias: str | None = None, mi
     return joined.select("id", *[values[f.name].cast(f.dataType).alias(f.name) for f in RESPONSE.fields])
 
 
-def accuracy(golden: DataFrame, responses: DataFrame) -> DataFrame:
-    """cases, passed, accuracy of golden cases (id, expected_...) against responses, all expectations that are given."""
+def judged(golden: DataFrame, responses: DataFrame) -> DataFrame:
+    """Golden cases (id, input, expected_...) with what was found and ``ok``: all expectations that are given hold."""
     r = responses.select("id", "granularity", F.col("country.alpha3").alias("country"), F.coalesce("admin1.code", "admin1.name").alias("admin1"), "locality")
     ok = lambda want, got: (F.col(want) == "") | F.coalesce(F.col(want) == F.col(got), F.lit(False))
-    both = golden.join(r, "id", "left").withColumn("ok", ok("expected_granularity", "granularity") & ok("expected_country", "country") & ok("expected_admin1", "admin1") & ok("expected_locality", "locality"))
-    return both.agg(F.count(F.lit(1)).alias("cases"), F.count_if("ok").alias("passed"), (100.0 * F.count_if("ok") / F.count(F.lit(1))).alias("accuracy"))
+    return golden.join(r, "id", "left").withColumn("ok", ok("expected_granularity", "granularity") & ok("expected_country", "country") & ok("expected_admin1", "admin1") & ok("expected_locality", "locality"))
+
+
+def accuracy(cases: DataFrame) -> DataFrame:
+    """cases, passed, accuracy in per cent of ``judged`` cases."""
+    return cases.agg(F.count(F.lit(1)).alias("cases"), F.count_if("ok").alias("passed"), (100.0 * F.count_if("ok") / F.count(F.lit(1))).alias("accuracy"))
+
+
+def failures(cases: DataFrame, limit: int = 30) -> DataFrame:
+    """The first failed cases by id."""
+    return cases.where("NOT ok").orderBy("id").limit(limit)

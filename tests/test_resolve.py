@@ -92,8 +92,10 @@ def test_golden_file_and_accuracy(spark, world, responses, tmp_path):
     golden = tables.read_golden(spark, str(path)).selectExpr("CASE input WHEN '' THEN 2 WHEN 'VIC' THEN 3 ELSE 1 END AS id", "*")
     assert golden.where("input = ''").count() == 1
     got = R.resolve(golden.selectExpr("id", "input AS text"), R.Gazetteers(**world))
-    row = R.accuracy(golden, got).first()
+    cases = R.judged(golden, got)
+    row = R.accuracy(cases).first()
     assert (row.cases, row.passed) == (3, 2)
+    assert [r.input for r in R.failures(cases).collect()] == ["VIC"]
 
 
 def test_sources_and_sinks(spark, world, tmp_path):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeforge.llm import mixing, pieces, quality, secrets, simhash
+from placeforge.llm import mixing, nearcopies, pieces, quality, secrets, simhash
 from placeforge.llm.common import materialise, read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,6 +30,21 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return known.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
 
 
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each component of near copies (5-word Jaccard of 0.8 or more, verified): that of the smallest doc_id.
+
+    Rows of one doc_id whose texts are no near copies all stay; so do rows without a doc_id.
+    """
+    keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("key"))
+    known = keyed.where("doc_id IS NOT NULL")
+    of_class, of_component = nearcopies.near_copies(known.select("key", "text"))
+    grouped = of_class.distinct().join(of_component, "class", "left").select("key", F.coalesce("component", "class").alias("component"))
+    ids = known.select("key", "doc_id").distinct().join(grouped, "key")
+    kept = ids.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("k")).select("k.key")
+    one = known.join(kept, "key", "left_semi").dropDuplicates(["key"])
+    return one.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
+
+
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts; no document goes."""
     clean = secrets.redacted(docs.select(*COLUMNS))
@@ -48,7 +63,7 @@ def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", good_quality),
-    ("near_duplicates", one_of_near_duplicates),
+    ("near_duplicates", one_of_near_copies),
     ("secrets", without_secrets),
     ("mixing", mixed_to_targets),
     ("pieces", as_pieces),

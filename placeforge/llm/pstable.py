@@ -142,6 +142,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     candidates has no rows; other columns are ignored.
     """
     rows, asked = usable(vectors, zero=False), usable(queries, zero=False)
+    rows, asked = rows.distinct(), asked.distinct()
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     kinds = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("scale")).collect()  # a row per length
     share = F.lit(1.0)
@@ -216,12 +217,21 @@ def _pairs(qid: np.ndarray, q: np.ndarray, vec: np.ndarray, x: np.ndarray, k: in
     score[qid[:, None] == vec[None, :]] = -np.inf
     slack = 1e-9 * (1.0 + np.abs(np.where(np.isfinite(score), score, 0.0)).max(axis=1))
     floor = np.fromiter((least.get(i, -np.inf) for i in qid.tolist()), np.float64, len(qid))
-    if score.shape[1] > k:
-        floor = np.maximum(floor, np.partition(score, -k, axis=1)[:, -k])
+    # an id counts once, with its best score
+    order = np.argsort(vec, kind="stable")
+    starts = np.flatnonzero(np.concatenate(([True], vec[order][1:] != vec[order][:-1])))
+    once = score if len(starts) == len(vec) else np.maximum.reduceat(score[:, order], starts, axis=1)
+    if once.shape[1] > k:
+        floor = np.maximum(floor, np.partition(once, -k, axis=1)[:, -k])
     i, j = np.nonzero((score >= (floor - slack)[:, None]) & np.isfinite(score))
     if not len(i):
         return
     exact = (q[i] * x[j]).sum(axis=1)  # the same for a pair wherever it is met
+    if len(starts) < len(vec):
+        order = np.lexsort((-exact, vec[j], qid[i]))
+        a, b = qid[i][order], vec[j][order]
+        first = np.sort(order[np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))])
+        i, j, exact = i[first], j[first], exact[first]
     keep = best_rows(qid[i], vec[j], exact, k)
     query, found, exact = qid[i][keep], vec[j][keep], exact[keep]
     ends = np.flatnonzero(np.concatenate((query[1:] != query[:-1], [True])))

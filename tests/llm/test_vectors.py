@@ -109,3 +109,15 @@ def test_empty(spark):
     data = frame(spark, [])
     assert pstable.search(data, data).count() == 0
     assert mtree.search(data, data).count() == 0
+
+
+def test_repeated_rows_take_no_neighbours_place(spark, monkeypatch):
+    monkeypatch.setattr(pstable, "CHOICES", ((1, 1e9),))
+    once = rows_of(120, 8, 8)
+    # every row five times, and one id with 30 different vectors near the query
+    near = [(700, (np.array(once[0][1]) * (2 + k / 100)).tolist()) for k in range(30)]
+    dot = lambda a, b: float((np.array(a, np.float32).astype(float) * np.array(b, np.float32).astype(float)).sum())
+    want = plain(once + near, 20, 20, dot, zero=False)
+    data = frame(spark, once * 5 + near)
+    got = lists(pstable.search(data, data.where("vec_id % 20 = 0"), 20))
+    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}

@@ -53,7 +53,7 @@ def op7_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(read_table(spark, sf_dir, "documents"), "lang")
+    return lm.score(read_table(spark, sf_dir, "documents"))
 
 
 def op9_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Command line: ``check``, ``norm``, ``resolve``, ``golden`` over a folder of published gazetteers."""
+"""Command line: ``build``, ``check``, ``norm``, ``resolve``, ``golden`` over a folder of published gazetteers."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from placeforge.functions.text import NORM_VERSION, normalize, strip_qualifiers
 from placeforge.operators import keys, resolve
-from placeforge.sources.tables import read_golden, settle
+from placeforge.plans.build import from_folder, publish_all
+from placeforge.sources.tables import ping, read_golden, read_published, settle
 
 TABLES = {"aliases": "alias_norm_key", "localities": "norm_key", "streets": None, "unresolved": None}
 
@@ -20,15 +21,9 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("placeforge").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
-    path = f"{folder}/{name}.parquet"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.parquet(path) if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop) else None
-
-
 def check(spark: SparkSession, folder: str) -> tuple[list[dict], list[str]]:
     """The health report and its problems; no table at all is a problem, too."""
-    tables = {name: _table(spark, folder, name) for name in TABLES}
+    tables = {name: read_published(spark, f"{folder}/{name}.parquet") for name in TABLES}
     if not any(t is not None for t in tables.values()):
         return [], [f"no table in {folder}"]
     report = [r.asDict() for r in keys.health(tables, {k: v for k, v in TABLES.items() if v}).collect()]
@@ -36,7 +31,7 @@ def check(spark: SparkSession, folder: str) -> tuple[list[dict], list[str]]:
 
 
 def gazetteers(spark: SparkSession, folder: str) -> resolve.Gazetteers:
-    return resolve.Gazetteers(*[spark.read.parquet(f"{folder}/{t}.parquet") for t in ("localities", "aliases", "streets", "cities", "countries", "states")])
+    return resolve.Gazetteers(*[read_published(spark, f"{folder}/{t}.parquet") for t in ("localities", "aliases", "streets", "cities", "countries", "states")])
 
 
 def norm(spark: SparkSession, text: str) -> dict[str, str]:
@@ -49,6 +44,10 @@ def main(args: list[str] | None = None) -> int:
     sub = parser.add_subparsers(dest="command", required=True)
     sub.add_parser("check").add_argument("folder")
     sub.add_parser("norm").add_argument("text")
+    p = sub.add_parser("build", help="build and publish all gazetteers; also after a change of the norm version")
+    p.add_argument("source")
+    p.add_argument("folder")
+    p.add_argument("--snapshot")
     for name in ("resolve", "golden"):
         p = sub.add_parser(name)
         p.add_argument("folder")
@@ -59,9 +58,12 @@ def main(args: list[str] | None = None) -> int:
         for k, v in norm(spark, given.text).items():
             print(f"{k:<11}{v!r}")
         return 0
+    if given.command == "build":
+        print(*publish_all(from_folder(spark, given.source, given.snapshot), given.folder), sep="\n")
+        return 0
     if given.command == "check":
         report, problems = check(spark, given.folder)
-        print(f"norm version {NORM_VERSION}", *[f"{r['table']:<12}{r['n']}" for r in report], *[f"FAIL {p}" for p in problems], sep="\n")
+        print(f"norm version {NORM_VERSION}", *[f"{k} {v}" for k, v in ping(spark).items()], *[f"{r['table']:<12}{r['n']}" for r in report], *[f"FAIL {p}" for p in problems], sep="\n")
         return int(bool(problems))
     if given.command == "resolve":
         asked = spark.createDataFrame([(0, given.input)], "id long, text string")

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placeforge.config import Settings, get_settings
-from placeforge.functions.text import NORM_VERSION, at_least, ngrams, normalize, strip_qualifiers, tokens
+from placeforge.functions.text import NORM_VERSION, at_least, cache_key, ngrams, normalize, strip_qualifiers, tokens
 from placeforge.schemas import GRANULARITY, RESPONSE
 from placeforge.sources.tables import settle
 
@@ -99,20 +99,44 @@ def similarity(a: Column, b: Column) -> Column:
     return F.round(100.0 * (F.lit(1.0) - F.levenshtein(a, b) / longest), 6)
 
 
-def fuzzy(texts: DataFrame, names: DataFrame, least: float) -> DataFrame:
-    """id, key, score of the most similar name at ``least`` or above; ties to the smaller name.
+def most_edits(longest: Column, least: float) -> Column:
+    """The most edits with which two texts, the longer one of ``longest`` letters, still have the least similarity."""
+    return F.floor(longest * F.lit(1.0 - least / 100.0) + 1e-6).cast("int")
 
-    Pairs meet by blocks of the first two letters and of neighbouring lengths,
-    so a text meets names that begin as it does and are at most two letters
-    longer or shorter.
+
+def fuzzy(texts: DataFrame, names: DataFrame, least: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """id, key, score (and ``by``) of the most similar name at ``least`` (50 or more) or above; ties to the smaller name.
+
+    texts: id, norm; names: key; both with the columns ``by``, which must be
+    equal.  No pair is lost: a name is cut into one segment more than the edits
+    that any text similar to it may differ by, so one segment stands unchanged
+    in the text, shifted by no more than the edits on either side of it allow.
+    Texts that are equal meet the names once.
     """
-    texts = texts.select("id", "norm").where("norm <> ''")
-    head = lambda c: F.substring(c, 1, 2)
-    asked = texts.withColumn("head", head("norm")).withColumn("size", F.explode(F.sequence(F.greatest(F.length("norm") - 2, F.lit(1)), F.length("norm") + 2)))
-    known = names.select("key").distinct().withColumn("head", head("key")).withColumn("size", F.length("key"))
-    met = asked.join(known, ["head", "size"]).select("id", "key", similarity(F.col("norm"), F.col("key")).alias("score")).where(F.col("score") >= least)
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "key")
-    return met.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("id", "key", "score")
+    if least < 50:
+        raise ValueError("the least similarity must be 50 or more")
+    share = least / 100.0
+    # of a name of m letters: the edits that the longest similar text allows, and the segment i
+    edits = most_edits(F.floor(F.col("m") / share + 1e-6), least)
+    size, extra = F.floor(F.col("m") / (F.col("d") + 1)).cast("int"), F.col("m") % (F.col("d") + 1)
+    longer = F.col("i") - (F.col("d") + 1 - extra)  # the last segments are one letter longer
+    segment = {"p": (F.col("i") * size + F.greatest(longer, F.lit(0))).cast("int"), "l": size + (longer >= 0).cast("int")}
+    known = names.select(*by, "key").where("key <> ''").distinct().withColumn("m", F.length("key")).withColumn("d", edits)
+    known = known.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d")))).withColumns(segment)
+    known = known.select(*by, "key", "m", "i", F.substr(F.col("key"), F.col("p") + 1, F.col("l")).alias("segment"))
+    distinct = texts.select(*by, "norm").where("norm <> ''").distinct().withColumn("n", F.length("norm"))
+    asked = distinct.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * share - 1e-6).cast("int"), F.floor(F.col("n") / share + 1e-6).cast("int"))))
+    asked = asked.withColumn("d", edits).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d")))).withColumns(segment)
+    shift, after = F.col("n") - F.col("m"), F.col("d") - F.col("i")
+    low = F.greatest(F.lit(0), F.col("p") - F.col("i"), F.col("p") + shift - after)
+    high = F.least(F.col("n") - F.col("l"), F.col("p") + F.col("i"), F.col("p") + shift + after)
+    asked = asked.withColumns({"low": low, "high": high}).where("low <= high").withColumn("at", F.explode(F.sequence("low", "high")))
+    asked = asked.select(*by, "norm", "m", "i", F.substr(F.col("norm"), F.col("at") + 1, F.col("l")).alias("segment")).distinct()
+    score = similarity(F.col("norm"), F.col("key"))
+    met = asked.join(known, [*by, "m", "i", "segment"]).withColumn("score", score).where(F.col("score") >= least)
+    best = met.groupBy(*by, "norm").agg(F.min(F.struct((-F.col("score")).alias("worse"), "key")).alias("best"))
+    found = best.select(*by, "norm", F.col("best.key").alias("key"), (-F.col("best.worse")).alias("score"))
+    return texts.select("id", *by, "norm").join(found, [*by, "norm"]).select("id", *by, "key", "score")
 
 
 def prepare(texts: DataFrame) -> DataFrame:
@@ -132,8 +156,8 @@ def prepare(texts: DataFrame) -> DataFrame:
 def resolve(texts: DataFrame, g: Gazetteers, country_bias: str | None = None, min_granularity: str | None = None, settings: Settings | None = None) -> DataFrame:
     """id and the response of each of ``texts`` (id, text).
 
-    With ``min_granularity`` what is less specific stays unresolved.  Equal
-    texts are best sent once: deduplicate by ``cache_key`` before and join after.
+    With ``min_granularity`` what is less specific stays unresolved.
+    ``resolve_once`` sends texts of equal meaning once.
     """
     s = settings or get_settings()
     bias = F.lit(country_bias or s.country_bias)
@@ -142,7 +166,8 @@ def resolve(texts: DataFrame, g: Gazetteers, country_bias: str | None = None, mi
     words = settle(lexicon(g))
     found = spans(asked)
     keyed = found.withColumn("key", F.col("span")).unionByName(found.withColumn("key", short_type(F.col("span")))).distinct()
-    hits = keyed.join(words, "key")
+    # places first: a street is looked up in the places that a text names, not in all that have it
+    hits = keyed.join(words.where("kind <> 'street'"), "key")
     length = F.col("end") - F.col("start")
     stated = hits.groupBy("id").agg(
         F.collect_set(F.when(F.col("kind") == "postcode", F.col("postcode"))).alias("postcodes"),
@@ -158,8 +183,21 @@ def resolve(texts: DataFrame, g: Gazetteers, country_bias: str | None = None, mi
     tie = F.log1p(F.coalesce("weight", F.lit(0.0))) / 100.0
     places = rows.where(F.col("kind").isin("locality", "alias")).withColumn("score", length * 1.0 + fit + F.col("confidence") + tie)
     # a street counts where its locality is named as well, by other words
-    near = places.select("id", F.col("admin1").alias("a1"), F.col("locality").alias("l"), F.col("postcode").alias("pc"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("score").alias("place_score"))
-    streets = rows.where("kind = 'street'").join(near, "id").where("admin1 = a1 AND locality = l AND postcode = pc AND (end <= s OR e <= start)")
+    near = places.select("id", F.col("admin1").alias("a1"), F.col("locality").alias("place"), F.col("postcode").alias("pc"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("score").alias("place_score"))
+    lines = words.where("kind = 'street'").select("key", F.col("admin1").alias("a1"), F.col("locality").alias("place"), F.col("postcode").alias("pc"), "country", "street", "confidence", "lat", "lng", "weight")
+    parsed = asked.select("id", "toks", "flat", "number_first", "number_last")
+    there = settle(near.distinct())
+    own_streets = keyed.join(there, "id").where("end <= s OR e <= start").join(lines, ["key", "a1", "place", "pc"])
+    # what stands before the place, without numbers and without the stated postcode and state
+    told = there.join(parsed, "id").join(stated.select("id", "postcodes", "states"), "id")
+    rest = F.filter(F.slice("toks", F.lit(1), F.col("s")), lambda x: ~F.array_contains("postcodes", x) & ~F.array_contains("states", x))
+    rest = F.regexp_replace(F.array_join(rest, " "), r"\A(?:(?:UNIT|FLAT|APT|SUITE) [0-9A-Z]+ )?(?:[0-9A-Z]*[0-9][0-9A-Z/-]* )?", "")
+    left_over = told.withColumn("norm", short_type(rest)).where("norm RLIKE '[A-Z]'").join(own_streets.select("id").distinct(), "id", "left_anti")
+    alike = fuzzy(left_over.select("id", "a1", "place", "pc", "norm").distinct(), lines, s.fuzzy_street_min, ("a1", "place", "pc"))
+    similar = alike.withColumnRenamed("score", "alike").join(lines.drop("confidence"), ["key", "a1", "place", "pc"]).join(there.groupBy("id", "a1", "place", "pc").agg(F.max("place_score").alias("place_score")), ["id", "a1", "place", "pc"])
+    named = {"admin1": F.col("a1"), "locality": F.col("place"), "postcode": F.col("pc")}
+    streets = own_streets.withColumns(named).join(parsed, "id")
+    similar = similar.withColumns(named | {"confidence": F.col("alike") / 100.0, "start": F.lit(0), "end": F.lit(0)}).join(parsed, "id")
     whole = F.col("size") - F.col("country_words") - F.col("state_words")
     numbered = F.col("number_first").isNotNull()
 
@@ -179,6 +217,7 @@ def resolve(texts: DataFrame, g: Gazetteers, country_bias: str | None = None, mi
     alone = rows.withColumn("nothing", lit(0.0))
     options = [
         option(streets, 1, street_kind, lit("gnaf_street_centroid"), length * 1.0 + F.col("place_score"), "gnaf_street_centroid"),
+        option(similar, 1, street_kind, lit("gnaf_street_centroid"), F.col("alike") / 100.0 + F.col("place_score"), "gnaf_street_centroid"),
         option(mailed, 2, lit("postcode"), lit("postal_only"), F.col("score") + F.when(F.col("box"), 1.0).otherwise(0.0), "postcode_centroid"),
         option(ordinary.where(settled), 3, lit("locality"), F.when(F.col("kind") == "alias", "locality_alias").otherwise("locality_exact"), F.col("score"), "locality_centroid"),
         option(city, 4, lit("city"), lit("city_exact"), F.log1p(F.coalesce("weight", lit(0.0))) + F.when(F.col("country") == bias, s.country_bias_weight).otherwise(0.0), "city_point"),
@@ -235,6 +274,25 @@ def resolve(texts: DataFrame, g: Gazetteers, country_bias: str | None = None, mi
     return joined.select("id", *[values[f.name].cast(f.dataType).alias(f.name) for f in RESPONSE.fields])
 
 
+def resolve_once(texts: DataFrame, g: Gazetteers, country_bias: str | None = None, min_granularity: str | None = None, settings: Settings | None = None) -> DataFrame:
+    """As ``resolve``, but texts with one cache key are resolved once; each keeps its own id and query."""
+    s = settings or get_settings()
+    keyed = texts.select("id", "text", cache_key("loc", "text", F.lit(country_bias or s.country_bias), F.lit(min_granularity or "")).alias("cache_key"))
+    distinct = keyed.groupBy("cache_key").agg(F.min("text").alias("text")).select(F.col("cache_key").alias("id"), "text")
+    found = resolve(distinct, g, country_bias, min_granularity, s).withColumnRenamed("id", "cache_key").drop("query")
+    return keyed.join(found, "cache_key").select("id", F.col("text").alias("query"), *[f.name for f in RESPONSE.fields if f.name != "query"])
+
+
+def resolve_batch(spark: SparkSession, items: list[str | None], g: Gazetteers, settings: Settings | None = None, **options: str) -> list[dict]:
+    """The responses of a request of at most ``batch_limit`` texts, in their order."""
+    s = settings or get_settings()
+    if len(items) > s.batch_limit:
+        raise ValueError(f"more than {s.batch_limit} texts")
+    texts = spark.createDataFrame(list(enumerate(items)), "id long, text string")
+    found = {r["id"]: r.asDict(recursive=True) for r in resolve_once(texts, g, settings=s, **options).collect()}  # bounded by the limit
+    return [found[i] for i in range(len(items))]
+
+
 def judged(golden: DataFrame, responses: DataFrame) -> DataFrame:
     """Golden cases (id, input, expected_...) with what was found and ``ok``: all expectations that are given hold."""
     r = responses.select("id", "granularity", F.col("country.alpha3").alias("country"), F.coalesce("admin1.code", "admin1.name").alias("admin1"), "locality")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeforge.functions.text import blank_to_null
+from placeforge.functions.text import blank_to_null, normalize
 from placeforge.schemas import COORDINATE, PRECISE, SUM
 
 KEY = ["state", "locality", "postcode", "street_key"]
@@ -87,6 +87,11 @@ def counted_variants(addresses: DataFrame) -> DataFrame:
     return variants(complete).withColumns({"lat_n": F.col("geo_n"), "lng_n": F.col("geo_n")})
 
 
+def with_norm_key(streets: DataFrame) -> DataFrame:
+    """Adds the normal form of ``street_key``, which stays as it is."""
+    return streets.withColumn("street_norm_key", normalize("street_key"))
+
+
 def discarded(variant: DataFrame) -> DataFrame:
     """Variants that lost their key: candidates for street aliases."""
     return ranked(variant).where("rank > 1").drop("rank")

@@ -221,11 +221,12 @@ ORACLES: dict[str, str] = {
     "locality_merge": f"WITH {PLACE} SELECT {_PLACE_OUT} FROM place",
     "locality_full_outer": f"WITH {PLACE} SELECT {_PLACE_OUT} FROM place",
     "locality_street_counts": f"WITH {PLACE} SELECT l.state, l.locality, l.postcode, coalesce(s.n, 0) AS street_count FROM place l LEFT JOIN (SELECT state, locality, postcode, count(*) AS n FROM street GROUP BY ALL) s USING (state, locality, postcode)",
+    "street_norm_keys": f"WITH {STREET} SELECT state, locality, postcode, street_key, {norm('street_key')} AS street_norm_key FROM street",
     "locality_norm_keys": f"WITH {PLACE} SELECT state, locality, postcode, {norm('locality')} AS norm_key FROM place",
     "locality_out_of_bounds": f"WITH {PLACE} SELECT count(*) AS out_of_bounds FROM place WHERE state <> 'OT' AND lat IS NOT NULL AND (lat NOT BETWEEN -44 AND -9 OR lng NOT BETWEEN 112 AND 154)",
     "locality_spots": f"WITH {PLACE} SELECT state, locality, postcode, address_count, in_gnaf, in_auspost, is_postal_only FROM place WHERE locality IN ('NATION_1', 'NATION_2 BC', 'NATION_3', 'NATION_9')",
     "provenance_totals": f"WITH {PLACE} SELECT count(*) AS total, count(*) FILTER (in_gnaf) AS from_gnaf, count(*) FILTER (in_auspost) AS from_auspost, count(*) FILTER (is_postal_only) AS postal_only, count(*) FILTER (geo_source = 'none') AS no_geometry FROM place",
-    "ambiguous_localities": f"WITH {PLACE} SELECT locality, count(DISTINCT state) AS states, string_agg(DISTINCT state, ',' ORDER BY state) AS state_list FROM place GROUP BY locality HAVING count(DISTINCT state) >= 1 ORDER BY states DESC, locality LIMIT 40",
+    "ambiguous_localities": f"WITH {PLACE} SELECT locality, count(DISTINCT state) AS states, string_agg(DISTINCT state, ',' ORDER BY state) AS state_list FROM place GROUP BY locality HAVING count(DISTINCT state) > 1 ORDER BY states DESC, locality LIMIT 40",
     "alias_principal": f"WITH {ALIAS} SELECT {_ALIAS_OUT} FROM alias_a",
     "alias_state_bucket": f"WITH {ALIAS} SELECT {_ALIAS_OUT} FROM alias_b",
     "alias_postal_variant": f"WITH {ALIAS} SELECT {_ALIAS_OUT} FROM alias_c",
@@ -254,9 +255,9 @@ ORACLES: dict[str, str] = {
       QUALIFY row_number() OVER (PARTITION BY id ORDER BY "end" - "start" DESC, "start", key) = 1""",
     "resolve_alias_scored": f"""WITH {ALIAS}, {_TEXTS}, {_HIT} SELECT id, locality, state, postcode, confidence FROM hit
       QUALIFY row_number() OVER (PARTITION BY id ORDER BY "end" - "start" DESC, confidence DESC, kind, state, locality, postcode) = 1""",
-    "resolve_fuzzy": f"""WITH names AS (SELECT DISTINCT {norm('p_name')} AS key FROM part WHERE p_partkey < 200),
+    "resolve_fuzzy": f"""WITH names AS (SELECT DISTINCT {norm('p_name')} AS key FROM part),
       asked AS (SELECT p_partkey AS id, {norm("CASE p_partkey % 3 WHEN 0 THEN p_name || 's' WHEN 1 THEN replace(p_name, 'e', 'i') ELSE p_name || 'ing on' END")} AS k FROM part),
       met AS (SELECT id, key, round(100.0 * (1.0 - CAST(levenshtein(k, key) AS DOUBLE) / greatest(length(k), length(key), 1)), 6) AS score
-        FROM asked JOIN names ON substr(k, 1, 2) = substr(key, 1, 2) AND abs(length(k) - length(key)) <= 2)
+        FROM asked CROSS JOIN names)
       SELECT id, key, score FROM met WHERE score >= 85 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, key) = 1""",
 }

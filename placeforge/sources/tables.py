@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,34 +53,92 @@ def scalar(spark: SparkSession, sql: str, **params: Any) -> Any:
     return None if row is None else row[0]
 
 
-def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Replaces a table: written whole beside it, then put in its place, so that readers see the old or the new one."""
-    spark = df.sparkSession
-    staged, old = f"{path.rstrip('/')}.staged", f"{path.rstrip('/')}.old"
+def _files(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """The Hadoop file system of a path, and how to make paths."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staged)
-    fs.delete(hadoop(old), True)
-    if fs.exists(hadoop(path)) and not fs.rename(hadoop(path), hadoop(old)):
-        raise OSError(f"cannot move {path}")
-    if not fs.rename(hadoop(staged), hadoop(path)):
-        raise OSError(f"cannot publish {path}")
-    fs.delete(hadoop(old), True)
+    return hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+_CURRENT = "_current"
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Version folders named by the table's pointer: the current one, then the one before."""
+    fs, hadoop = _files(spark, path)
+    pointer = hadoop(f"{path}/{_CURRENT}")
+    if not fs.exists(pointer):
+        return []
+    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(pointer)))
+    lines = [reader.readLine(), reader.readLine()]
+    reader.close()
+    return [x for x in lines if x]
+
+
+def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
+    """Replaces a table, and gives its new version.
+
+    A version is written whole into a folder of its own; then the pointer file
+    is replaced by one rename, so ``read_published`` finds the old version or
+    the new one, never neither.  The version before stays for readers that have
+    begun; older ones go.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    fs, hadoop = _files(spark, path)
+    before, version = _versions(spark, path), f"v-{uuid.uuid4().hex}"
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{version}")
+    staged = hadoop(f"{path}/{_CURRENT}-{version}")
+    out = fs.create(staged, True)
+    out.write(bytearray("\n".join([version, *before[:1]]).encode()))
+    out.close()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    overwrite = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    overwrite[0] = jvm.Options.Rename.OVERWRITE
+    context = jvm.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(staged), fs.makeQualified(hadoop(f"{path}/{_CURRENT}")), overwrite)
+    for old in before[1:]:
+        fs.delete(hadoop(f"{path}/{old}"), True)
+    return version
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current version of a published table, or a plain Parquet table; None where there is none."""
+    path = path.rstrip("/")
+    fs, hadoop = _files(spark, path)
+    if not fs.exists(hadoop(path)):
+        return None
+    versions = _versions(spark, path)
+    return spark.read.parquet(f"{path}/{versions[0]}" if versions else path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``; only a local session gets a folder made where it is unset."""
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        base = context.getConf().get("spark.checkpoint.dir")
+        if not base and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="placeforge-"))
+        held = context._jsc.sc().getCheckpointDir()
+    return context.getConf().get("spark.checkpoint.dir", held.get()).rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Computes a frame that several others use, once, into the cluster's shared folder (``spark.checkpoint.dir``)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():  # local sessions only
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="placeforge-"))
+    """Computes a frame that several others use, once, into the cluster's shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def ping(spark: SparkSession) -> dict[str, str]:
+    """Whether the session answers, and the version of its engine."""
+    return {"answers": str(scalar(spark, "SELECT 1") == 1).lower(), "version": scalar(spark, "SELECT version()")}
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Removes a table if it is there."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop(path), True)
+    fs, hadoop = _files(spark, path)
+    fs.delete(hadoop(path), True)
 
 
 def write_ndjson(df: DataFrame, path: str) -> None:

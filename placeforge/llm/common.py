@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placeforge.sources.tables import shared_dir as scratch_dir
+
 #: Byte values that separate words: space and \x09-\x0D.  ``bytes.split()``
 #: splits at exactly these, ``bytes.lower()`` folds exactly A-Z.
 WORD_SEPARATORS = b" \t\n\x0b\x0c\r"
@@ -18,21 +19,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, ``spark.checkpoint.dir``.
-
-    Only where that is unset (local sessions, tests) a folder is made here.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="placeforge-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
-
-
 #: Tables that this process has made and not removed.
 _MADE: list[str] = []
 
@@ -65,5 +51,20 @@ def unit_hash(*cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+def bounded_sample(rows: DataFrame, most: int, *by: Column | str, size: int | None = None) -> DataFrame:
+    """``most`` rows at most, those of the least hash of ``by``; equal rows count one by one.
+
+    Most other rows are left out before the sort, so that it moves few.
+    """
+    size = rows.count() if size is None else size
+    if size <= most:
+        return rows
+    share = F.lit(min(1.0, 1.5 * most / size + 20 / size))
+    near = rows.where(unit_hash(*by) < share)
+    if near.limit(most).count() < most:  # few values, each many times: rows one by one
+        near = rows.where(unit_hash(*by, F.monotonically_increasing_id()) < share)
+    return near.orderBy(unit_hash(*by)).limit(most)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

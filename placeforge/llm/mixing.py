@@ -4,7 +4,7 @@
    bounded, hash-chosen sample (``MAX_LABELLED`` rows) gives a lexicon of the
    ``LEXICON`` words that tell the domains apart best.
 2. Every document gets the domains' posteriors from the lexicon words that it
-   holds, and its token count.
+   holds (one without any has the domains' shares), and its token count.
 3. Nonnegative document rates are fitted by projected-gradient least squares:
    the expected token totals of the domains, sums of rate * tokens * posterior,
    shall meet the targets.  A step follows the gradient in the metric of the
@@ -23,9 +23,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeforge.llm.common import materialise, unit_hash
+from placeforge.llm.common import bounded_sample, materialise, unit_hash
 
-MAX_LABELLED, MAX_DOMAINS, LEXICON, MAX_STEPS = 4000, 16, 96, 40
+MAX_LABELLED, LEXICON, MAX_STEPS = 4000, 192, 40
+#: Domains that are fitted each; rarer ones are one domain together, named ``REST``.
+OWN_DOMAINS, REST = 24, "other"
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -44,7 +46,7 @@ def count_column(pieces: str) -> Column:
 @dataclass
 class Classifier:
     domains: list[str]
-    prior: list[float]  # log, with what absent lexicon words add
+    prior: list[float]  # log
     words: list[str] = field(default_factory=list)
     weights: list[list[float]] = field(default_factory=list)  # by word: what its presence adds for each domain
 
@@ -61,13 +63,12 @@ class Classifier:
 def fit_classifier(labelled: DataFrame, max_rows: int = MAX_LABELLED, lexicon: int = LEXICON) -> Classifier:
     """From rows (text, domain); those without a domain are left out, rows are chosen by their text's hash."""
     known = labelled.select("text", F.col("domain").cast("string").alias("domain")).where("domain IS NOT NULL")
-    size = known.count()
-    if size > max_rows:
-        known = known.where(unit_hash("text", "domain") < F.lit(max_rows / size))
+    known = bounded_sample(known, max_rows, "text", "domain")
     known = materialise(known.select("domain", F.array_remove(F.array_distinct(pieces_column("text")), "").alias("words")), "mix-labelled")
-    rows = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain").limit(MAX_DOMAINS + 1).collect()}
-    if len(rows) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} domains")
+    kept = known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain").limit(OWN_DOMAINS).collect()
+    own = [r["domain"] for r in kept]
+    known = known.withColumn("domain", F.when(F.col("domain").isin(own), F.col("domain")).otherwise(REST)) if own else known
+    rows = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}  # one more at most
     domains = sorted(rows)
     if not domains:
         return Classifier(["unknown"], [0.0])
@@ -81,8 +82,7 @@ def fit_classifier(labelled: DataFrame, max_rows: int = MAX_LABELLED, lexicon: i
     worth = sum((s * rows[d] / n * F.log(s / mean) + (1 - s) * rows[d] / n * F.log((1 - s) / (1 - mean)) for s, d in zip(share, domains, strict=True)), F.lit(0.0))
     best = by_word.select("word", *[s.alias(f"s{k}") for k, s in enumerate(share)], worth.alias("worth")).orderBy(F.desc("worth"), "word").limit(lexicon).collect()
     shares = [[r[f"s{k}"] for k in range(len(domains))] for r in best]
-    prior = [math.log(rows[d] / n) + sum(math.log1p(-s[k]) for s in shares) for k, d in enumerate(domains)]
-    return Classifier(domains, prior, [r["word"] for r in best], [[math.log(x) - math.log1p(-x) for x in s] for s in shares])
+    return Classifier(domains, [math.log(rows[d] / n) for d in domains], [r["word"] for r in best], [[math.log(x) for x in s] for s in shares])
 
 
 def with_membership(docs: DataFrame, classifier: Classifier) -> DataFrame:
@@ -183,24 +183,43 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> DataFrame:
-    """text, domain (the language) of labelled documents of good quality, at most about ``max_rows``."""
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    size = good.count()
-    chosen = good.where(unit_hash("doc_id") < F.lit(min(1.0, max_rows / size) if size else 1.0))  # so bounded
+    """text, domain (the language) of documents labelled as good, of at most ``max_rows`` ids."""
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    chosen = bounded_sample(good, max_rows, "doc_id")
     return docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", F.col("lang").alias("domain"))
 
 
-def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The rows of ``docs``, each repeated as often as its rate says; no row is lost.
+def gentle(totals: dict[str, float], most: float = 2.0) -> dict[str, float]:
+    """Target weights that bring the domains nearer to each other, none by more than ``most`` times beside the largest."""
+    held = [x for x in totals.values() if x > 0]
+    apart = max(held) / min(held) if held else 1.0
+    power = max(0.0, 1.0 - math.log(most) / math.log(apart)) if apart > 1 else 0.0
+    return tempered(totals, power)
 
-    Rates are scaled so that the least of them is 1.  The part of a rate after
-    the point adds a copy with that chance, by the doc_id's hash.
+
+def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, keep_all: bool = False, most: float = 2.0) -> DataFrame:
+    """The rows of ``docs``, each as often as its rate says: the whole part, and once more with the chance of the rest.
+
+    Expected token totals meet the targets (``fit_rates``; by default
+    ``tempered`` shares of as many tokens as there are), so rows with a rate
+    below 1 may go.  With ``keep_all`` no row goes: the default targets are
+    ``gentle`` ones, and the total is as much larger as makes the least rate 1;
+    a row comes 2 * ``most`` times at most.  Chances are hashes of doc_id and
+    text, so equal rows fare alike.  Null and empty texts have no tokens and the
+    rate of the domains' shares; an empty table gives no rows; other columns
+    stay.
     """
     classifier = fit_classifier(labelled)
     small = materialise(with_membership(docs.select("text"), classifier).select("n_tokens", "posterior"), "mix-members")
-    rate, report = fit_rates(small, classifier.domains, targets)
-    least = max(1e-3, min(corner_rates(report, len(classifier.domains))))
-    scaled = F.greatest(F.lit(1.0), rate / F.lit(least))
-    full = with_membership(docs, classifier).withColumn("_rate", scaled)
+    if keep_all and targets is None:
+        own = small.agg(*[F.sum(F.col("n_tokens") * F.get("posterior", F.lit(k))).alias(f"e{k}") for k in range(len(classifier.domains))]).first()
+        targets = gentle({x: own[f"e{k}"] or 0.0 for k, x in enumerate(classifier.domains)}, most)
+    rate, report = fit_rates(small, classifier.domains, targets, total)
+    if keep_all:
+        corners = corner_rates(report, len(classifier.domains))
+        least = max(min(corners), max(corners) / (2 * most))
+        rate = F.least(F.greatest(F.lit(1.0), rate / F.lit(least if least > 0 else 1.0)), F.lit(2.0 * most))
+    full = with_membership(docs, classifier).withColumn("_rate", rate)
     copies = F.floor("_rate") + (unit_hash("doc_id", "text") < F.col("_rate") - F.floor("_rate")).cast("long")
-    return full.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*[full[c] for c in docs.columns])
+    kept = full.withColumn("_copies", copies).where("_copies > 0")
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*[kept[c] for c in docs.columns])

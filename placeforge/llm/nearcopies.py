@@ -1,16 +1,20 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
-
-1. A text becomes the set of its 5-word shingles' XXH64; texts of equal sets
-   are one class, so copies cost nothing further on.
-2. The shingles have one order for the whole corpus, the common ones last.
-   Sets of similarity 0.8 or more share a shingle among the first fifth of
-   each (prefix filter), so classes that meet in no prefix shingle need no
-   test, and no pair at 0.8 or more is lost.  Which shingles count as common is
-   read off a sample; that moves work only, never what is found.
-3. First each class is tested against the least class of each of its shingles;
-   then all pairs that meet and are not yet in one component.  A large group of
-   near copies therefore costs about its size and not its square.
-4. Pairs whose sketches differ in more places than such sets can are left out;
+"""Near copies by the exact Jaccard similarity of word shingles, SimHash first.
+
+1. A text becomes the set of its 5-word shingles' XXH64, and the SimHash of that
+   set; texts of equal sets are one class, so copies cost nothing further on.
+2. SimHash links (fingerprints at 4 or fewer differing bits, found by
+   ``simhash.links``) are verified by the sets.  At a similarity of 0.8 most
+   fingerprints differ by more bits than any grid can bridge, so:
+3. The shingles have one order for the whole corpus, rare ones first.  Sets of
+   similarity 0.8 or more share a shingle among the first fifth of each (prefix
+   filter), so no pair at 0.8 or more is lost, whatever the order.  The order:
+   shingles of the least ``SHARE`` of hashes by the number of documents that hold
+   them, which is counted over the whole corpus, then the others.  Shingles that
+   only one document holds meet nothing and go no further.
+4. Classes that meet and are not yet in one component are tested: in some rounds
+   each class against one other only, then all pairs that are left.  A large
+   group of near copies costs about its size and not its square.
+5. Pairs whose sketches differ in more places than such sets can are left out;
    the others are tested by their sets, and links have 0.8 or more.
 """
 
@@ -22,19 +26,23 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeforge.llm.common import materialise, unit_hash, words_of
-from placeforge.llm.simhash import SEED, components
+from placeforge.llm.common import materialise, words_of
+from placeforge.llm.simhash import SEED, components, links, majority
 
 SHINGLE = 5
 #: The least similarity of near copies: NUM of DEN.
 NUM, DEN = 4, 5
-#: Documents and shingles of the sample that tells which shingles are common.
-SAMPLE_DOCS, SAMPLE_COUNT, SAMPLE_SHINGLES = 5000, 3, 100_000
+#: Share of the hashes whose documents are counted; hashes counted by one task; a chunk closes at so many characters.
+SHARE, PART_HASHES, CHUNK_CHARS = 0.3, 4_000_000, 40_000_000
+#: Rounds in which a class is tested against one other.
+ROUNDS = 2
 #: Bits of the filter over keys before a join.
 KEY_BITS = 1 << 22
+_LIMIT = np.uint64(int(SHARE * 2**64))
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -51,13 +59,28 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, n))
 
 
-def prefix(own: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a sorted set, in the corpus' order, of which similar sets share one."""
-    if not len(own):
-        return own
-    size = len(own) - -(-NUM * len(own) // DEN) + 1
-    last = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(len(own), bool)
-    return np.concatenate([own[~last], own[last]])[:size]
+def prefix_size(n: int) -> int:
+    """How many of a set's first shingles one of any similar set must be among."""
+    return n - -(-NUM * n // DEN) + 1 if n else 0
+
+
+def stored(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a sorted set: the shingles that are counted, and as many others as its prefix may need."""
+    cut = int(np.searchsorted(own, _LIMIT))
+    return own[:cut], own[cut : cut + max(0, prefix_size(len(own)) - cut)]
+
+
+def prefix(counted: np.ndarray, others: np.ndarray, n: int, shared: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """The shingles of a set's prefix that other documents may hold.
+
+    shared: sorted shingles that several documents hold, and ``documents`` how many.
+    """
+    at = np.searchsorted(shared, counted)
+    known = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == counted) if len(shared) else np.zeros(len(counted), bool)
+    many = np.ones(len(counted), np.int64)
+    many[known] = documents[at[known]]
+    order = np.lexsort((counted, many))[: prefix_size(n)]
+    return np.concatenate([counted[order][many[order] > 1], others])
 
 
 def sketch(own: np.ndarray) -> bytes:
@@ -96,14 +119,6 @@ def _sets(docs: DataFrame, wanted=None) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "key bigint, own array<bigint>")
 
 
-def _common(docs: DataFrame) -> np.ndarray:
-    n = docs.count()
-    sample = docs.where(unit_hash("key") < F.lit(min(1.0, SAMPLE_DOCS / n) if n else 1.0))  # so bounded
-    counted = _sets(sample).select(F.explode("own").alias("s")).groupBy("s").count().where(F.col("count") >= SAMPLE_COUNT)
-    rows = counted.orderBy(F.desc("count"), "s").limit(SAMPLE_SHINGLES).select("s").toArrow()
-    return np.sort(rows["s"].to_numpy().astype(np.int64).view(np.uint64))
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes at the least similarity or above."""
     x, y = (classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
@@ -126,41 +141,139 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     return materialise(shared.where(F.col("i") * DEN >= (F.col("n") - F.col("i")) * NUM).select("a", "b").distinct(), "near-links")
 
 
-def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, class) of each row of ``docs`` (key, text; equal keys have equal texts), and (class, component).
-
-    A class that is alone has no component.  Texts without words are one class.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(_common(docs))  # of bounded size
+def _prints(docs: DataFrame) -> DataFrame:
+    """A row for each of ``docs``; the set's parts are null but in the first row of a class that a task meets."""
+    ddl = "key bigint, class bigint, n int, fp bigint, sketch binary, chunk bigint, counted binary, others binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, chars, met = TaskContext.get().partitionId() << 24, 0, set()
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                own = [shingles(x.as_py()) for x in part.column(1)]
-                of_class = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in own), np.uint64, len(own)).view(np.int64)
-                sizes = pa.array([len(x) for x in own], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(of_class), sizes, pa.array([sketch(x) for x in own], pa.binary()), _lists([prefix(x, held.value) for x in own])], ["key", "class", "n", "sketch", "first"])
-
-    prints = materialise(docs.select("key", "text").mapInArrow(run, "key bigint, class bigint, n int, sketch binary, first array<bigint>"), "near-prints")
-    classes = materialise(prints.groupBy("class").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
-    met = prints.select("class", "n", F.explode("first").alias("s")).distinct()
-    here = Window.partitionBy("s")
-    least = F.min(F.struct("class", "n")).over(here)
-    met = met.withColumns({"least": least, "many": F.count(F.lit(1)).over(here)}).where("many > 1")
-    met = materialise(met.select("s", "class", "n", F.col("least.class").alias("first"), F.col("least.n").alias("first_n")), "near-met")
+                part, rows = batch.slice(a, 500), []
+                for x in part.column(1):
+                    text = x.as_py()
+                    own = shingles(text)
+                    of = xxhash.xxh64_intdigest(own.tobytes(), SEED)
+                    of -= (of >> 63) << 64
+                    if of in met:
+                        rows.append((of, len(own), 0, None, chunk, None, None))
+                        continue
+                    met.add(of)
+                    counted, others = stored(own)
+                    fp = majority(own)
+                    rows.append((of, len(own), fp - ((fp >> 63) << 64), sketch(own), chunk, counted.tobytes(), others.tobytes()))
+                    chars += len(text or "")
+                    if chars >= CHUNK_CHARS:
+                        chars, chunk = 0, chunk + 1
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+                cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], [x.split()[0] for x in ddl.split(", ")])
+
+    return docs.select("key", "text").mapInArrow(run, ddl)
+
+
+def _met(prints: DataFrame) -> DataFrame:
+    """class, n, s: the prefix shingles of each class that other documents may hold."""
+    firsts = prints.where("counted IS NOT NULL").select("chunk", "class", "n", "counted", "others")
+    total = firsts.agg(F.sum(F.length("counted")).alias("n")).first()["n"] or 0
+    parts = max(16, -(-total // (8 * PART_HASHES)))
+    edges = np.array([int(SHARE * 2**64) * k // parts for k in range(1, parts)], np.uint64)
+
+    def cut(table: pa.Table) -> pa.Table:
+        """Each chunk's counted shingles by ranges."""
+        own = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["counted"]]))
+        at = [0, *np.searchsorted(own, edges).tolist(), len(own)]
+        held = [(k, own[a:b].tobytes()) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
+        return pa.table([pa.array([k for k, _ in held], pa.int32()), pa.array([table["chunk"][0].as_py()] * len(held), pa.int64()), pa.array([x for _, x in held], pa.binary())], ["part", "chunk", "held"])
+
+    def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of one chunk follow each other in a task."""
+        run: list[pa.RecordBatch] = []
+        for batch in batches:
+            chunk = batch.column(0).to_numpy()
+            ends = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
+            for a, b in zip(ends, ends[1:], strict=False):
+                if b > a:
+                    if run and run[-1].column(0)[0].as_py() != chunk[a]:
+                        yield from cut(pa.Table.from_batches(run)).to_batches()
+                        run = []
+                    run.append(batch.slice(a, b - a))
+        if run:
+            yield from cut(pa.Table.from_batches(run)).to_batches()
+
+    def count(table: pa.Table) -> pa.Table:
+        """For each chunk, its shingles that come more than once in this range, and how often."""
+        blobs = [np.frombuffer(x.as_py(), np.uint64) for x in table["held"]]
+        found, many = np.unique(np.concatenate(blobs), return_counts=True)
+        found, many = found[many > 1], many[many > 1].astype(np.int32)
+        out = []
+        for own in blobs:
+            own = np.unique(own)
+            at = np.searchsorted(found, own)
+            at = at[(at < len(found)) & (found[np.minimum(at, len(found) - 1)] == own)] if len(found) else at[:0]
+            out.append((found[at].tobytes(), many[at].tobytes()))
+        return pa.table([table["chunk"], pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["chunk", "shared", "documents"])
+
+    ranges = firsts.select("chunk", "counted").mapInArrow(by_chunk, "part int, chunk bigint, held binary")
+    shared = ranges.groupBy("part").applyInArrow(count, "chunk bigint, shared binary, documents binary")
+
+    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(x.as_py(), np.uint64) for x in right["shared"]]
+        own = np.concatenate(blobs) if blobs else np.zeros(0, np.uint64)
+        many = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in right["documents"]]) if blobs else np.zeros(0, np.int32)
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1]))) if len(own) else order
+        own, many = own[order][first], many[order][first]
+        rows = [
+            prefix(np.frombuffer(c.as_py(), np.uint64), np.frombuffer(o.as_py(), np.uint64), n, own, many)
+            for c, o, n in zip(left["counted"], left["others"], left["n"].to_pylist(), strict=True)
+        ]
+        sizes = [len(x) for x in rows]
+        s = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)
+        return pa.table([np.repeat(left["class"].to_numpy(), sizes), np.repeat(left["n"].to_numpy(), sizes), s], ["class", "n", "s"])
+
+    return firsts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(pick, "class bigint, n int, s bigint").distinct()
+
+
+def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, class) of each row of ``docs`` (key, text; equal keys have equal texts), and (class, component).
+
+    A class that is alone has no component.  Null, empty and blank texts have no
+    words and are one class; very long texts, ties and repeated rows need
+    nothing of their own; an empty table gives two empty ones; other columns
+    are ignored.
+    """
+    prints = materialise(_prints(docs), "near-prints")
+    first = F.min(F.when(F.col("sketch").isNotNull(), F.struct("key", "n", "fp", "sketch"))).alias("x")
+    classes = materialise(prints.groupBy("class").agg(first).select("class", "x.*"), "near-classes")
+    met = materialise(_met(prints), "near-met")
     sizes = lambda x, y: F.least(x, y) * DEN >= F.greatest(x, y) * NUM
-    stars = met.where(F.col("class") != F.col("first")).where(sizes(F.col("n"), F.col("first_n")))
-    links = _verified(materialise(stars.select(F.col("first").alias("a"), F.col("class").alias("b")).distinct(), "near-pairs"), docs, classes)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "near-pairs"), docs, classes)
 
     def grouped(edges: DataFrame) -> DataFrame:
         found = components(edges).select(F.col("id").alias("class"), F.col("root").alias("component"))
         return found.unionByName(found.select(F.col("component").alias("class"), "component").distinct())
 
-    known = met.join(grouped(links), "class", "left").select("s", "class", "n", F.coalesce("component", "class").alias("c"))
-    known = known.withColumns({"low": F.min("c").over(here), "high": F.max("c").over(here)}).where("low < high").select("s", "class", "n", "c")
-    known = materialise(known, "near-known")
-    x, y = (known.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("class", "n", "c")]) for k in "ab")
-    rest = x.join(y, "s").where("c_a < c_b").where(sizes(F.col("n_a"), F.col("n_b")))
-    more = _verified(materialise(rest.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct(), "near-pairs"), docs, classes)
-    return prints.select("key", "class"), grouped(links.unionByName(more))
+    # fingerprints: their links, and classes of one fingerprint
+    least = materialise(classes.where("n > 0").groupBy("fp").agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("many")), "near-fps")
+    a, b = (least.select(F.col("fp").alias(k), F.col("least").alias(f"class_{k}")) for k in "ab")
+    across = links(least.select("fp")).join(a, "a").join(b, "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    within = classes.where("n > 0").select("fp", F.col("class").alias("a")).join(least.where("many > 1").select("fp", F.col("least").alias("b")), "fp").select("a", "b")
+    edges = verified(across.unionByName(within))
+    for turn in range(ROUNDS + 1):
+        known = met.join(grouped(edges), "class", "left").select("s", "class", "n", F.coalesce("component", "class").alias("c"))
+        ends = known.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
+        known = materialise(known.join(ends, "s", "left_semi"), "near-known")
+        if turn < ROUNDS:
+            # each class against one of another component that it meets
+            order = F.xxhash64("class", F.lit(turn))
+            leaders = known.groupBy("s").agg(F.min(F.struct(order.alias("h"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))).alias("x")).select("s", "x.*")
+            drawn = known.join(leaders, "s").where("c <> d").where(sizes(F.col("n"), F.col("m")))
+            pairs = drawn.groupBy("class").agg(F.min(F.struct("h", "b")).alias("x")).select(F.col("class").alias("a"), F.col("x.b").alias("b"))
+        else:
+            x, y = (known.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("class", "n", "c")]) for k in "ab")
+            pairs = x.join(y, "s").where("c_a < c_b").where(sizes(F.col("n_a"), F.col("n_b"))).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+        edges = materialise(edges.unionByName(verified(pairs)), "near-links")
+    return prints.select("key", "class"), grouped(edges)

@@ -36,7 +36,7 @@ def test_posteriors_against_plain_bayes(data):
     members = {r.doc_id: r for r in M.with_membership(docs.select("doc_id", "text"), model).collect()}
     for i, t in rows:
         own = set((t or "").lower().split())
-        logs = [math.log(n[d] / len(known)) + sum(math.log(share[w, d]) if w in own else math.log(1 - share[w, d]) for w in vocabulary) for d in "abc"]
+        logs = [math.log(n[d] / len(known)) + sum(math.log(share[w, d]) for w in vocabulary & own) for d in "abc"]
         p = np.exp(np.array(logs) - max(logs))
         assert members[i].posterior == pytest.approx((p / p.sum()).tolist(), abs=1e-9)
         assert members[i].n_tokens == len((t or "").split())
@@ -61,14 +61,47 @@ def test_extreme_targets_clip_rates(data):
     assert min(r.rate for r in got) == 0 and sums[2] == pytest.approx(total, rel=0.05) and sums[0] < 0.02 * total
 
 
-def test_resampling_loses_no_row(data):
+def test_resampling_without_loss(data):
     docs, labelled, rows, _ = data
-    got = M.resample(docs, labelled).collect()
-    assert {r.doc_id for r in got} == {i for i, _ in rows} and len(got) >= len(rows)
+    got = M.resample(docs, labelled, keep_all=True).collect()
+    assert {r.doc_id for r in got} == {i for i, _ in rows} and len(rows) <= len(got) <= 4 * len(rows)
     assert got and list(got[0].asDict()) == ["doc_id", "text", "domain", "rate"]
     assert all(r.rate == 0.5 and r.domain == "x" for r in got)
 
 
+@pytest.mark.parametrize("targets", [{"a": 1, "b": 1, "c": 1}, {"a": 0.01, "b": 0.5, "c": 0.49}, {"a": 0.9, "b": 0.05, "c": 0.05}])
+def test_resampling_meets_skewed_targets(spark, data, targets):
+    _, labelled, _, _ = data
+    rng = random.Random(3)
+    rows = [(i, text(rng, rng.choice("aaab" if i % 3 else "c"))) for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = {w: d for d, ws in WORDS.items() for w in ws if w != "the"}
+    found, total = dict.fromkeys("abc", 0), sum(len(t.split()) for _, t in rows)
+    for r in M.resample(docs, labelled, targets).collect():
+        own = [words[w] for w in r.text.split() if w in words]
+        if own:
+            found[own[0]] += len(r.text.split())
+    whole = sum(targets.values())
+    assert sum(found.values()) == pytest.approx(total, rel=0.01)
+    assert all(found[d] == pytest.approx(total * targets[d] / whole, abs=0.01 * total) for d in "abc")
+
+
+def test_many_domains_share_the_rest(spark):
+    labelled = spark.createDataFrame([(f"w{k} w{k} x", f"d{k:03}") for k in range(60) for _ in range(3)], "text string, domain string")
+    model = M.fit_classifier(labelled)
+    assert len(model.domains) == M.OWN_DOMAINS + 1 and M.REST in model.domains
+    got = M.mix(labelled.selectExpr("1L AS doc_id", "text"), labelled).collect()
+    assert len(got) == 180 and {r.domain for r in got} == set(model.domains)
+
+
+def test_sample_of_one_repeated_text_is_bounded(spark):
+    labelled = spark.range(5000).selectExpr("'one text' AS text", "'a' AS domain")
+    assert M.fit_classifier(labelled, max_rows=100).domains == ["a"]
+    from placeforge.llm.common import bounded_sample
+
+    assert bounded_sample(labelled, 100, "text", "domain").count() <= 100
+
+
 def test_nothing_labelled_and_empty(data):
     docs, labelled, rows, _ = data
     got = M.mix(docs, labelled.limit(0)).collect()

@@ -1,23 +1,27 @@
 """Quality classifier by co-training on two views of a document.
 
-The content view sees which words a text has (hashed, presence only); the
-metadata view sees its language, source and length, and the page's layout:
-shares of upper-case letters, digits and signs, lines, repeats, links.  Both
-start from labelled documents.  In each round each view labels the unlabelled
-documents that it is surest of, for the other view to learn from; then both are
-fitted again.  At last each view is calibrated on labelled documents held back
-from training, and a logistic combination of the calibrated log-odds scores all
-documents.
-
-The fit uses bounded samples, chosen by the doc_id's hash: ``MAX_LABELLED``
-labelled and ``MAX_UNLABELLED`` unlabelled documents.  Scoring reads every text.
+The content view sees which words a text has (hashed, presence only) and the
+text's shape: shares of upper-case letters, digits and signs, lines, repeats,
+links.  The metadata view sees only what the record says: language, source, both
+together, and the length.  Both start from labelled documents.  In each round
+each view labels the unlabelled documents of the whole corpus that it is surest
+of, for the other view to learn from; documents on which the views' labels
+conflict are left out; then both are fitted again.  Each view is calibrated on
+labelled documents held back from training, and a logistic combination of the
+calibrated log-odds scores all documents.  A round that does not make the combination
+better on them is undone, and the exchange ends.
+
+The labelled sample is bounded (``MAX_LABELLED`` rows, by hash).  The pool is
+every unlabelled document: the features of all of them are written once, each
+task picks its surest ones, and the surest of these come to the driver
+(``CONFIDENT`` a view and round, by calibrated log-odds beyond ``SURE``).
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeforge.llm.common import unit_hash, words_of
+from placeforge.llm.common import bounded_sample, materialise, words_of
 
-MAX_LABELLED, MAX_UNLABELLED = 6000, 3000
-WORD_BITS, ROUNDS, CONFIDENT, APART = 18, 3, 200, 4.0
+MAX_LABELLED = 6000
+WORD_BITS, ROUNDS, APART = 18, 2, 4.0
+#: Pseudo-labels a view and round, and the calibrated log-odds that they need.
+CONFIDENT, SURE = 400, 2.0
 #: Values of a metadata column are hashed to so many indicators.
 NAME_SLOTS = 64
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -57,14 +63,19 @@ def shape(text: str, words: list[bytes]) -> list[float]:
     ]
 
 
-def metadata(text: str, words: list[bytes], lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """Layout shares and indicators of language and source; ``n_chars`` beside the true length shows a wrong record."""
-    out = np.zeros(len(_SHAPE) + 1 + 2 * NAME_SLOTS)
-    out[: len(_SHAPE)] = shape(text, words)
-    out[len(_SHAPE)] = math.log1p(max(0, n_chars or 0)) - math.log1p(len(text))
-    for k, name in enumerate((lang, source)):
-        slot = zlib.crc32(b"\0" if name is None else str(name).encode()) % NAME_SLOTS
-        out[len(_SHAPE) + 1 + k * NAME_SLOTS + slot] = 1.0
+#: Metadata: the length's logarithm, its steps, and three indicators by name.
+_STEPS = (0, 50, 100, 200, 400, 800, 1600, 3200, 6400, 12_800, 25_600)
+_META = 1 + len(_STEPS) + 3 * NAME_SLOTS
+
+
+def metadata(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """What the record says of a document, without a look at its text; null is a value of its own."""
+    out = np.zeros(_META, np.float32)
+    out[0] = math.log1p(max(0, n_chars or 0))
+    out[1 : 1 + len(_STEPS)] = [n_chars is not None and n_chars > x for x in _STEPS]
+    names = [b"\0" if x is None else str(x).encode() for x in (lang, source)]
+    for k, name in enumerate((*names, b"\1".join(names))):
+        out[1 + len(_STEPS) + k * NAME_SLOTS + zlib.crc32(name) % NAME_SLOTS] = 1.0
     return out
 
 
@@ -94,11 +105,34 @@ class ContentView:
 
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << WORD_BITS))
     constant: float = 0.0
+    shape: MetadataView = field(default_factory=lambda: MetadataView())
+    #: what the words' log-odds and the shape's count
+    both: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0, 0.0]))
 
-    def odds(self, rows: list[np.ndarray]) -> np.ndarray:
+    def _words(self, rows: list[np.ndarray]) -> np.ndarray:
         return np.array([self.weights[r].sum() for r in rows]) + self.constant
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 30) -> None:
+    def odds(self, rows: list[np.ndarray], shapes: np.ndarray) -> np.ndarray:
+        if not len(rows):
+            return np.zeros(0)
+        parts = [np.clip(self._words(rows), -12, 12), np.clip(self.shape.odds(shapes), -12, 12), np.ones(len(rows))]
+        return np.stack(parts, axis=1) @ self.both
+
+    def fit(self, rows: list[np.ndarray], shapes: np.ndarray, y: np.ndarray) -> None:
+        """Words and shape are weighed on rows that the words were not fitted on, then fitted on all."""
+        part = np.arange(len(y)) % 3 == 2
+        if len(set(y[part])) == 2 and len(set(y[~part])) == 2:
+            self._fit([r for r, p in zip(rows, part, strict=True) if not p], shapes[~part], y[~part])
+            held = [r for r, p in zip(rows, part, strict=True) if p]
+            inputs = [np.clip(self._words(held), -12, 12), np.clip(self.shape.odds(shapes[part]), -12, 12), np.ones(len(held))]
+            self.both = _newton(np.stack(inputs, axis=1), y[part], np.ones(len(held)), ridge=0.1)
+        self._fit(rows, shapes, y)
+
+    def _fit(self, rows: list[np.ndarray], shapes: np.ndarray, y: np.ndarray) -> None:
+        self.shape.fit(shapes, y)
+        self._fit_words(rows, y)
+
+    def _fit_words(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 30) -> None:
         size = 1 << WORD_BITS
         sizes = np.array([len(r) for r in rows])
         flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
@@ -128,13 +162,15 @@ class ContentView:
 
 @dataclass
 class MetadataView:
+    """Logistic regression on scaled values and the first ones' squares; for the shape of a text as well."""
+
     weights: np.ndarray | None = None
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
 
     def _inputs(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
-        return np.hstack([z, z[:, : len(_SHAPE) + 1] ** 2, np.ones((len(z), 1))])
+        return np.hstack([z, z[:, : len(_SHAPE)] ** 2, np.ones((len(z), 1))])
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         return self._inputs(x) @ self.weights
@@ -155,100 +191,195 @@ class Model:
     #: chance of a good document without any evidence, where nothing could be fitted
     prior: float | None = None
 
-    def score(self, rows: list[np.ndarray], meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, views: Views) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated chances by content and by metadata, and the combined one."""
-        if self.prior is not None or not len(rows):
-            same = np.full(len(rows), 0.5 if self.prior is None else self.prior)
+        n = len(views.words)
+        if self.prior is not None or not n:
+            same = np.full(n, 0.5 if self.prior is None else self.prior)
             return same, same, same
-        odds = np.stack([a * z + b for (a, b), z in zip(self.platt, (self.content.odds(rows), self.metadata.odds(meta)), strict=True)], axis=1)
+        odds = np.stack(self.calibrated(views), axis=1)
         both = np.hstack([np.clip(odds, -12, 12), np.ones((len(odds), 1))])
         return _sigmoid(odds[:, 0]), _sigmoid(odds[:, 1]), _sigmoid(both @ self.joint)
 
+    def odds(self, views: Views) -> tuple[np.ndarray, np.ndarray]:
+        return self.content.odds(views.words, views.shapes), self.metadata.odds(views.meta)
+
+    def calibrated(self, views: Views) -> list[np.ndarray]:
+        return [a * z + b for (a, b), z in zip(self.platt, self.odds(views), strict=True)]
+
+
+@dataclass
+class Views:
+    """Documents' word slots, shapes and metadata."""
+
+    words: list[np.ndarray]
+    shapes: np.ndarray
+    meta: np.ndarray
+
+    def rows(self, at: np.ndarray) -> Views:
+        return Views([self.words[i] for i in at.tolist()], self.shapes[at], self.meta[at])
+
+    def plus(self, other: Views) -> Views:
+        return Views(self.words + other.words, np.vstack([self.shapes, other.shapes]), np.vstack([self.meta, other.meta]))
+
+
+def _empty() -> Views:
+    return Views([], np.zeros((0, len(_SHAPE))), np.zeros((0, _META)))
+
 
-def co_train(rows: list[np.ndarray], meta: np.ndarray, y: np.ndarray, more: list[np.ndarray], more_meta: np.ndarray, rounds: int = ROUNDS, confident: int = CONFIDENT) -> Model:
-    """y: 1 good, 0 bad.  A fifth of the labelled rows is held back for calibration."""
+def surest(odds: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """Labels (1 and 0, -1 for none) of the surest rows: at most so many good and bad ones, with odds beyond ``SURE``."""
+    label = np.full(len(odds), -1.0)
+    order = np.argsort(-odds, kind="stable")
+    label[order[: share[0]][odds[order[: share[0]]] > SURE]] = 1.0
+    low = order[::-1][: share[1]]
+    label[low[odds[low] < -SURE]] = 0.0
+    return label
+
+
+#: Gives a round's pseudo-labels: documents with the content view's and the metadata view's labels (-1: none).
+Pick = Callable[["Model", tuple[int, int], set], tuple[list, Views, np.ndarray, np.ndarray]]
+
+
+def co_train(views: Views, y: np.ndarray, pick: Pick | None = None, rounds: int = ROUNDS, confident: int = CONFIDENT) -> Model:
+    """y: 1 good, 0 bad.  A fifth of the labelled rows is held back for calibration.
+
+    ``pick`` is given the model, how many good and bad documents to label, and
+    the names of those that have a label already.
+    """
     if len(y) < 10 or y.min(initial=1) == y.max(initial=0):
         return Model(ContentView(), MetadataView(), [], np.zeros(3), float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.5)
     held = np.arange(len(y)) % 5 == 4
-    if len(set(y[held])) < 2:
-        held[:] = True
-    use = ~held if not held.all() else held
-    own = [r for r, u in zip(rows, use, strict=True) if u]
-    a, b = ContentView(), MetadataView()
-    for_a: dict[int, float] = {}  # unlabelled rows that the other view has labelled
-    for_b: dict[int, float] = {}
+    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+        use = held = np.ones(len(y), bool)
+    else:
+        use = ~held
+    own, kept, truth = views.rows(np.flatnonzero(use)), views.rows(np.flatnonzero(held)), y[held]
     share = max(1, round(confident * y.mean())), max(1, round(confident * (1 - y.mean())))
+    for_content, for_metadata, taken = (_empty(), np.zeros(0)), (_empty(), np.zeros(0)), set()
+    best: tuple[float, Model] | None = None
     for k in range(rounds + 1):
-        a.fit(own + [more[i] for i in for_a], np.concatenate([y[use], list(for_a.values())]))
-        b.fit(np.vstack([meta[use], more_meta[list(for_b)]]), np.concatenate([y[use], list(for_b.values())]))
-        if k == rounds or not len(more):
+        model = Model(ContentView(), MetadataView(), [], np.zeros(3))
+        more = own.plus(for_content[0])
+        model.content.fit(more.words, more.shapes, np.concatenate([y[use], for_content[1]]))
+        model.metadata.fit(own.plus(for_metadata[0]).meta, np.concatenate([y[use], for_metadata[1]]))
+        odds = model.odds(kept)
+        for z in odds:
+            w = _newton(np.stack([z, np.ones(len(z))], axis=1), truth, np.ones(len(z)), ridge=1e-2)
+            model.platt.append((max(0.0, float(w[0])), float(w[1])))
+        inputs = np.stack([s * z + c for (s, c), z in zip(model.platt, odds, strict=True)] + [np.ones(len(truth))], axis=1)
+        model.joint = _newton(np.clip(inputs, -12, 12), truth, np.ones(len(truth)), ridge=0.1)
+        p = np.clip(model.score(kept)[2], 1e-6, 1 - 1e-6)
+        loss = float(-np.log(np.where(truth > 0.5, p, 1 - p)).mean())
+        if best is not None and loss >= best[0]:
+            break
+        best = (loss, model)
+        if k == rounds or pick is None:
             break
-        for view, other, taken in ((a.odds(more), for_b, 1.0), (b.odds(more_meta), for_a, 1.0)):
-            order = [int(i) for i in np.argsort(-view, kind="stable") if int(i) not in other]
-            good = [i for i in order[: share[0]] if view[i] > 1]
-            bad = [i for i in order[::-1][: share[1]] if view[i] < -1]
-            other |= dict.fromkeys(good, taken) | dict.fromkeys(bad, 0.0)
-    odds = [a.odds([r for r, h in zip(rows, held, strict=True) if h]), b.odds(meta[held])]
-    platt = []
-    for z in odds:
-        w = _newton(np.stack([z, np.ones(len(z))], axis=1), y[held], np.ones(held.sum()), ridge=1e-2)
-        platt.append((max(0.0, float(w[0])), float(w[1])))
-    inputs = np.stack([s * z + c for (s, c), z in zip(platt, odds, strict=True)] + [np.ones(held.sum())], axis=1)
-    joint = _newton(np.clip(inputs, -12, 12), y[held], np.ones(held.sum()), ridge=0.1)
-    return Model(a, b, platt, joint)
+        names, found, by_content, by_metadata = pick(model, share, taken)
+        taken |= set(names)
+        # where both are sure of different things, neither teaches
+        agree = ~((by_content >= 0) & (by_metadata >= 0) & (by_content != by_metadata))
+        learn = [np.flatnonzero((x >= 0) & agree) for x in (by_metadata, by_content)]
+        for_content = (for_content[0].plus(found.rows(learn[0])), np.concatenate([for_content[1], by_metadata[learn[0]]]))
+        for_metadata = (for_metadata[0].plus(found.rows(learn[1])), np.concatenate([for_metadata[1], by_content[learn[1]]]))
+    return best[1]
 
 
 _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _views(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
-    rows, meta = [], np.zeros((batch.num_rows, len(_SHAPE) + 1 + 2 * NAME_SLOTS))
+def _views(batch: pa.RecordBatch) -> Views:
+    rows, shapes, meta = [], np.zeros((batch.num_rows, len(_SHAPE))), np.zeros((batch.num_rows, _META))
     other = [batch.column(i).to_pylist() for i in (2, 3, 4)]
     for k, x in enumerate(batch.column(1)):
         text = x.as_py() or ""
         words = words_of(text)
         rows.append(content(words))
-        meta[k] = metadata(text, words, *(c[k] for c in other))
-    return rows, meta
+        shapes[k] = shape(text, words)
+        meta[k] = metadata(*(c[k] for c in other))
+    return Views(rows, shapes, meta)
 
 
 def _plain(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", docs["lang"].cast("string"), docs["source"].cast("string"), docs["n_chars"].cast("bigint"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+_FEATURES = "name string, good int, words binary, shapes binary, meta binary"
+
+
+def _features(rows: DataFrame) -> DataFrame:
+    """name (hash of the row), good, and the views, of rows with the columns of ``_plain`` and ``good``."""
+    named = rows.withColumn("name", F.xxhash64("doc_id", "text", "lang", "source", "n_chars").cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _views(batch)
+            held = [[x.astype(np.int32).tobytes() for x in v.words], [x.astype(np.float32).tobytes() for x in v.shapes], [x.astype(np.float32).tobytes() for x in v.meta]]
+            yield pa.RecordBatch.from_arrays([batch.column(6), batch.column(5), *[pa.array(x, pa.binary()) for x in held]], ["name", "good", "words", "shapes", "meta"])
+
+    return named.select(*_COLUMNS, "good", "name").mapInArrow(run, _FEATURES)
+
+
+def _read(batch: pa.RecordBatch | pa.Table) -> Views:
+    cols = [[x.as_py() for x in batch.column(k)] for k in (2, 3, 4)]
+    if not cols[0]:
+        return _empty()
+    stack = lambda c: np.stack([np.frombuffer(x, np.float32) for x in c]).astype(np.float64)
+    return Views([np.frombuffer(x, np.int32) for x in cols[0]], stack(cols[1]), stack(cols[2]))
+
+
+def pick_from(features: DataFrame) -> Pick:
+    """Picks from a table of features: the surest of each task, then the surest of all; equal rows once."""
+
+    def pick(model: Model, share: tuple[int, int], taken: set) -> tuple[list, Views, np.ndarray, np.ndarray]:
+        held = features.sparkSession.sparkContext.broadcast((model, taken))  # of bounded size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, taken = held.value
+            best: pa.Table | None = None
+            for batch in batches:
+                batch = batch.filter(pa.array([x not in taken for x in batch.column(0).to_pylist()], pa.bool_()))
+                odds = model.calibrated(_read(batch))
+                own = pa.Table.from_batches([batch]).append_column("a", pa.array(odds[0])).append_column("b", pa.array(odds[1]))
+                best = own if best is None else pa.concat_tables([best, own])
+                names = best["name"].to_pylist()
+                first = np.array(sorted({n: i for i, n in reversed(list(enumerate(names)))}.values()), np.int64)
+                best = best.take(pa.array(first))
+                keep = np.zeros(best.num_rows, bool)
+                for c in ("a", "b"):
+                    keep |= surest(best[c].to_numpy(), share) >= 0
+                best = best.filter(pa.array(keep))
+            if best is not None:
+                yield from best.combine_chunks().to_batches()
+
+        found = materialise(features.where("good IS NULL").mapInArrow(run, f"{_FEATURES}, a double, b double"), "quality-surest").dropDuplicates(["name"])
+        ends = [found.orderBy(*by).limit(n) for c in ("a", "b") for by, n in (((F.desc(c), "name"), share[0]), ((F.asc(c), "name"), share[1]))]
+        rows = ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).dropDuplicates(["name"]).toArrow().sort_by("name")  # twice ``CONFIDENT``
+        return rows["name"].to_pylist(), _read(rows), surest(rows["a"].to_numpy(), share), surest(rows["b"].to_numpy(), share)
+
+    return pick
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> Model:
     """From ``labels`` (doc_id, quality, toxic): good is quality 1 and not toxic.
 
     A doc_id that is labelled more than once is good only if it always is.
     """
     good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(good.cast("int")).alias("good"))
-    counts = known.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    total = docs.count()
-    pick = unit_hash("doc_id", F.lit("quality"))
-    sample = known.where(pick < F.lit(min(1.0, max_labelled / counts) if counts else 1.0))  # so bounded
-    chosen = _plain(docs).join(F.broadcast(sample), "doc_id", "left").select(*_COLUMNS, "good")
-    rest = F.lit(min(1.0, max_unlabelled / total) if total else 1.0)
-    chosen = chosen.where(F.col("good").isNotNull() | (unit_hash("doc_id", F.lit("pool")) < rest))
-
-    def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, meta = _views(batch)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r.tolist() for r in rows], pa.list_(pa.int32())), pa.array(meta.tolist(), pa.list_(pa.float64())), batch.column(5)],
-                ["doc_id", "words", "meta", "good"],
-            )
-
-    found = chosen.mapInArrow(views, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words array<int>, meta array<double>, good int").toArrow()
-    order = np.argsort([zlib.crc32(str(i).encode()) for i in found["doc_id"].to_pylist()], kind="stable")
-    lists = found["words"].combine_chunks()
-    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)
-    words = [flat[ends[i] : ends[i + 1]] for i in order]
-    meta = np.array(found["meta"].to_pylist()).reshape(len(words), len(_SHAPE) + 1 + 2 * NAME_SLOTS)[order]
-    y = np.array([-1 if x is None else x for x in found["good"].to_pylist()], np.float64)[order]
-    labelled = y >= 0
-    pick_rows = lambda mask: [r for r, m in zip(words, mask, strict=True) if m]
-    return co_train(pick_rows(labelled), meta[labelled], y[labelled], pick_rows(~labelled), meta[~labelled])
+    sample = bounded_sample(known, max_labelled, "doc_id", F.lit("quality"))
+    given = _plain(docs).join(F.broadcast(sample), "doc_id").select(*_COLUMNS, "good")
+    found = _features(bounded_sample(given, max_labelled, "doc_id", "text")).toArrow()
+    order = np.argsort([zlib.crc32(x.encode()) for x in found["name"].to_pylist()], kind="stable")
+    found = found.take(pa.array(order))
+    y = np.array(found["good"].to_pylist(), np.float64)
+    pick = None
+    if rounds and len(set(y.tolist())) == 2:
+        # labelled documents beyond the sample are no pool
+        rest = _plain(docs).join(known.select("doc_id", F.lit(1).alias("good")), "doc_id", "left").select(*_COLUMNS, "good").where("good IS NULL")
+        pick = pick_from(materialise(_features(rest), "quality-pool"))
+    return co_train(_read(found), y, pick, rounds)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -260,7 +391,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = held.value.score(*_views(batch))
+            found = held.value.score(_views(batch))
             yield pa.RecordBatch.from_arrays([batch.column(5), *map(pa.array, found)], ["row", "p_content", "p_metadata", "score"])
 
     row = given.schema["row"].dataType.simpleString()
@@ -271,9 +402,10 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, keep: list
     """doc_id, p_content, p_metadata, score, good for each row of ``docs`` (doc_id, text, lang, source, n_chars).
 
     A null text counts as empty, null metadata is a value of its own; repeated
-    rows each give a row and equal rows equal scores.  Without labels of both
-    kinds all documents get the share of good labels (one half without any).
-    Other columns are ignored.
+    rows each give a row and equal rows equal scores; very long texts are read
+    whole; an empty table gives no rows.  Without labels of both kinds all
+    documents get the share of good labels (one half without any).  Other
+    columns are ignored.
     """
     scored = score(docs, fit(docs, labels), keep)
     return scored.withColumn("good", F.col("score") >= threshold)

@@ -1,12 +1,20 @@
 """Secret scans: base patterns, and assignment-aware lexing.
 
-The lexer reads source and configuration syntax in a text as statements
-``name = value``, ``name: value``, ``"name": value`` and ``name => value``.
-A value is a quoted literal, a bare literal, or a name assigned before; names
-joined by ``+`` are concatenations.  Literals flow through names (constant
-propagation), so that in ``k = "abc..."; password = k`` the first literal is
-found.  A literal is scored by the sensitive words in the names that it reaches
-and by its own form; what reaches ``threshold`` is a secret of kind ``lexed``.
+The lexer reads source and configuration syntax in a text: ``name = value``,
+``name: value``, ``"name": value``, ``name => value``, ``name(value, ...)`` and
+``<name>value</name>``.  A value is a quoted literal (escapes and triple quotes
+as well), a bare one, a name, a list of these in brackets, or a concatenation by
+``+``; after a colon it may stand on the next, deeper line.  Any run of blanks
+may stand around a separator and names may have any length.
+
+Each assignment is a version of its name.  A name in a value stands for its last
+version before, or, where there is none, for its first one after.  So literals
+flow through names (constant propagation), and how sensitive a name is flows
+back: in ``k = "abc..."; password = k`` the first literal is found.  A literal is
+scored by the most sensitive name that it reaches and by its own form, parts of
+a concatenation also by the whole; what reaches ``threshold`` is a secret of kind
+``lexed``.  The work is linear in the text: what was read as a value is not read
+again.
 
 Spans count code points, ends are exclusive.
 """
@@ -43,14 +51,20 @@ HARMLESS = {"length", "len", "count", "max", "min", "size", "type", "url", "path
 #: Values that stand for a secret but are none.
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|change_?me|example|placeholder|none|null|true|false|todo|your[_-].*|redacted)$")
 
-#: What separates name and value; names and values are read around it.
-_SEPARATOR = re.compile(r"(?<![=!<>])(?::=|=>|=(?!=)|:(?!//|=))")
-_TARGET = re.compile(r"""(?:^|[^\w$.-])(["']?)([A-Za-z_$][\w$.\[\]-]{0,79})\1[\x20\t]{0,8}$""", re.ASCII)
-_ATOM = r"""(?:[rbfuRBFU]?(?:"[^"\n]*"|'[^'\n]*')|[^\s"',;(){}\[\]<>|+]+)"""
-_VALUE = re.compile(rf"[\x20\t]{{0,8}}({_ATOM}(?:[\x20\t]{{0,4}}\+[\x20\t]{{0,4}}{_ATOM})*)")
-_PART = re.compile(r""" "([^"\n]*)" | '([^'\n]*)' | ([^\s"'+]+) """, re.VERBOSE)
+#: A name and what follows it: a separator, or the bracket of a call.  Runs are read whole, so no text is tried twice.
+_TARGET = re.compile(r"""(?<![\w$.-])([A-Za-z_$][\w$.\[\]-]*+)(?:["']?\]?[\x20\t]*+(:=|=>|=(?!=)|:(?!//|=))|(\())""", re.ASCII)
+_ELEMENT = re.compile(r"""<([A-Za-z_][\w.-]*+)>([^<>\n]*+)</\1>""", re.ASCII)
+_GAP, _COMMA = re.compile(r"\s*+"), re.compile(r"\s*+,\s*+")
+_BLANKS = re.compile(r"[\x20\t]*+")
+_NEXT_LINE = re.compile(r"[|>]?[+-]?[\x20\t]*+\r?\n([\x20\t]++)(?![\x20\t\r\n#-])")
+_QUOTED = re.compile(r"""[rbfuRBFU]{0,2}("|')((?:\\.|(?!\1)[^\\\n])*+)\1""")
+_TRIPLE = re.compile(r"""[rbfuRBFU]{0,2}(\"{3}|'{3})""")
+_BARE = re.compile(r"""[^\s"',;(){}\[\]<>|+&]++""")
+_BARE_IN_LIST = re.compile(r"""[^\s"',;(){}\[\]<>|+&=:]++""")
 _NAME = re.compile(r"[A-Za-z_$][\w$.]*", re.ASCII)
 _NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+#: What some sensitive word contains: texts without any of these have no sensitive name.
+_STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "api", "private", "access", "signing", "encryption", "salt", "dsn", "webhook", "session")
 THRESHOLD = 1.3
 
 
@@ -85,34 +99,132 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4.0) * (0.5 if classes == 1 else 0.85 if classes == 2 else 1.0)
 
 
+class _Reader:
+    """Values of a text, each place read once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.unclosed: dict[str, int] = {}  # from where on triple quotes do not close
+
+    def atom(self, at: int, bare: re.Pattern) -> tuple[int, int, int, bool] | None:
+        """(start, end, where reading goes on, whether it may be a name) of a literal or name."""
+        text = self.text
+        if m := _TRIPLE.match(text, at):
+            if m.end() < self.unclosed.get(m[1], len(text) + 1):
+                close = text.find(m[1], m.end())
+                if close >= 0:
+                    return m.end(), close, close + 3, False
+                self.unclosed[m[1]] = m.end()
+        if m := _QUOTED.match(text, at):
+            return m.start(2), m.end(2), m.end(), False
+        if m := bare.match(text, at):
+            return m.start(), m.end(), m.end(), True
+        return None
+
+    def chain(self, at: int, bare: re.Pattern) -> tuple[list[tuple[int, int, bool]], int]:
+        """Atoms that are joined by ``+``."""
+        parts: list[tuple[int, int, bool]] = []
+        end = at
+        while found := self.atom(_BLANKS.match(self.text, at).end(), bare):
+            parts.append((found[0], found[1], found[3]))
+            end = found[2]
+            at = _BLANKS.match(self.text, end).end()
+            if not self.text.startswith("+", at):
+                break
+            at += 1
+        return parts, end
+
+    def values(self, at: int, call: bool, colon: bool) -> tuple[list[list[tuple[int, int, bool]]], int]:
+        """The values from ``at`` on: one, or those of a list; and where reading goes on."""
+        if colon and (m := _NEXT_LINE.match(self.text, _BLANKS.match(self.text, at).end())):
+            parts, end = self.chain(m.end(), _BARE)
+            # a deeper mapping is no value
+            return ([parts], end) if parts and not self.text[: end + 1].endswith(":") and not self.text.startswith(":", end) and self.text[end - 1] != ":" else ([], at)
+        at = _BLANKS.match(self.text, at).end()
+        if not call and self.text[at : at + 1] not in ("[", "(", "{"):
+            parts, end = self.chain(at, _BARE)
+            return ([parts] if parts else []), end
+        found, end = [], _GAP.match(self.text, at + (not call)).end()
+        while True:
+            parts, after = self.chain(end, _BARE_IN_LIST)
+            if parts:
+                found.append(parts)
+                end = after
+            if not (m := _COMMA.match(self.text, end)):
+                return found, end
+            end = m.end()
+
+
 def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, float]]:
     """(start, end, target name, score) of the literals that reach a sensitive name."""
-    if not any(c in text for c in "=:"):
+    low = text.lower()
+    if not any(x in low for x in _STEMS):
         return []
-    holds: dict[str, list[tuple[int, int, str]]] = {}
-    best: dict[tuple[int, int], tuple[float, str]] = {}
-    for sep in _SEPARATOR.finditer(text):
-        target, value = _TARGET.search(text[max(0, sep.start() - 100) : sep.start()]), _VALUE.match(text, sep.end())
-        if not target or not value:
+    reader, done = _Reader(text), 0
+    names: list[str] = []  # by version
+    held: list[list[list[tuple[int, int]]]] = []  # by version: literals of each of its values
+    into: list[list[int]] = []  # by version: versions that it flows into
+    last: dict[str, int] = {}
+    first: dict[str, int] = {}
+    waiting: dict[str, list[int]] = {}  # names that are used before any version
+
+    def version(name: str, values: list[list[tuple[int, int, bool]]]) -> None:
+        k = len(names)
+        names.append(name)
+        into.append([])
+        own = []
+        for parts in values:
+            literals = []
+            for a, b, bare in parts:
+                word = text[a:b] if bare and b - a <= 200 else ""
+                if word and _NAME.fullmatch(word) and word != name:
+                    if word in last:
+                        into[last[word]].append(k)
+                        continue
+                    waiting.setdefault(word, []).append(k)
+                    if len(parts) > 1:
+                        continue
+                if b > a:
+                    literals.append((a, b))
+            own.append(literals)
+        held.append(own)
+        if name not in first:
+            first[name] = k
+            into[k] += waiting.pop(name, [])
+        last[name] = k
+
+    for m in _TARGET.finditer(text):
+        if m.start() < done:
             continue
-        name, literals = target[2], []
-        at = value.start(1)
-        for part in _PART.finditer(value[1]):
-            k = part.lastindex
-            lit, bare = part[k], k == 3
-            if bare and _NAME.fullmatch(lit) and lit in holds:
-                literals += holds[lit]
-            elif lit:
-                literals.append((at + part.start(k), at + part.end(k), lit))
-        literals = list(dict.fromkeys(literals))
-        holds[name] = literals
-        named = name_score(name)
-        if not named:
-            continue
-        for a, b, lit in literals:
-            score = named + literal_score(lit) if literal_score(lit) else 0.0
-            if score >= threshold and score > best.get((a, b), (0.0, ""))[0]:
-                best[a, b] = (score, name)
+        values, end = reader.values(m.end(), m[3] is not None, m[2] == ":")
+        if values:
+            version(m[1], values)
+            done = max(done, end)
+    for m in _ELEMENT.finditer(text):
+        version(m[1], [[(m.start(2), m.end(2), False)]])
+    # how sensitive a version is: its own name, or a version that it flows into
+    from_: list[list[int]] = [[] for _ in names]
+    for k, ends in enumerate(into):
+        for e in ends:
+            from_[e].append(k)
+    scored: dict[int, tuple[float, str]] = {}
+    own_score = {n: name_score(n) for n in set(names)}
+    for k in sorted(range(len(names)), key=lambda k: -own_score[names[k]]):
+        value = (own_score[names[k]], names[k])
+        todo = [k] if value[0] else []
+        while todo:
+            x = todo.pop()
+            if x not in scored:
+                scored[x] = value
+                todo += from_[x]
+    best: dict[tuple[int, int], tuple[float, str]] = {}
+    for k, (named, name) in scored.items():
+        for literals in held[k]:
+            whole = literal_score("".join([text[a:b] for a, b in literals])) if len(literals) > 1 else 0.0
+            for a, b in literals:
+                form = max(whole, literal_score(text[a:b]))
+                if form and named + form >= threshold and named + form > best.get((a, b), (0.0, ""))[0]:
+                    best[a, b] = (named + form, name)
     return [(a, b, n, round(s, 4)) for (a, b), (s, n) in sorted(best.items())]
 
 
@@ -150,7 +262,7 @@ def find_secrets(docs: DataFrame, threshold: float = THRESHOLD, with_text: bool
     """doc_id, found (spans), redacted, base_sha256 for each row of ``docs`` (doc_id, text).
 
     ``redacted`` is null unless ``with_text`` is set.  A null text is scanned as
-    empty (no spans) and stays null; repeated rows each give a row; an empty
+    empty (no spans) and stays null; very long texts take time in proportion; repeated rows each give a row; an empty
     table gives no rows; other columns are ignored.
     """
 
@@ -173,7 +285,11 @@ def find_secrets(docs: DataFrame, threshold: float = THRESHOLD, with_text: bool
 
 
 def redacted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with every span in ``text`` replaced; the other columns as they are."""
+    """The rows of ``docs`` with every span in ``text`` replaced; the other columns as they are.
+
+    A null text stays null, an empty one empty; repeated rows are each cleaned;
+    an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

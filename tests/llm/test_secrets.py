@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from placeforge.llm import secrets as S
 
@@ -48,6 +49,58 @@ def test_constants_flow_to_sensitive_names():
     assert values(f'colour = "{TOKEN}"\nother = colour') == []
 
 
+def test_lexer_reads_any_layout():
+    for text in [
+        f'db_pwd          = "{TOKEN}"', f'{"n" * 94}_pwd="{TOKEN}"', f'pwd = """{TOKEN}"""', f"pwd = '''{TOKEN}'''", f"password:\n    {TOKEN}\nother: 1", f"secret: |\n  {TOKEN}",
+        f'set_pwd("{TOKEN}")', f'pwd = [\n  "{TOKEN}"\n]', f"<pwd>{TOKEN}</pwd>", f'signing_secret = K\nK = "{TOKEN}"', f'config["db_pwd"] = "{TOKEN}"', f'x = 1\nx = "{TOKEN}"\npwd = x',
+    ]:
+        assert values(text) == [TOKEN], text
+    assert values(f'pwd = "a\\"{TOKEN}"') == [f'a\\"{TOKEN}']
+    assert values('pwd = "AbC12x" + "Yz98Qw"') == ["AbC12x", "Yz98Qw"]
+    assert values(f'x = "{TOKEN}"\nx = "plain words"\npwd = x') == []  # the last version before the use
+
+
+def test_statements_of_a_grammar():
+    """Statements whose literals are known to flow to a sensitive name or not, by a plain walk."""
+    rng = random.Random(8)
+    names = ["db_pwd", "apiSecret", "auth_token", "colour", "shape", "k1", "k2", "k3"]
+    for _ in range(300):
+        text, lines = "", []
+        for _ in range(rng.randint(1, 8)):
+            name, refs = rng.choice(names), rng.sample(["k1", "k2", "k3"], rng.randint(0, 2))
+            literal = "".join(rng.choice("abcXYZ0123456789QRSTUV") for _ in range(20))
+            quote = rng.choice("\"'")
+            parts = [r for r in refs if r != name] + ([quote + literal + quote] if rng.random() < 0.7 else [])
+            if not parts:
+                continue
+            text += name + " " * rng.randint(0, 12) + rng.choice(["=", ":", ":=", "=>"]) + " " * rng.randint(0, 12) + " + ".join(parts) + rng.choice(["\n", ";\n", " # note\n"])
+            lines.append((name, [p for p in parts if p[0] == "k"], [p.strip(quote) for p in parts if p[0] != "k"]))
+
+        def reaches(k, lines, seen):
+            if k in seen:
+                return False
+            seen.add(k)
+            if S.name_score(lines[k][0]) >= 0.9:
+                return True
+            for j, (_, refs, _) in enumerate(lines):
+                if lines[k][0] in refs:
+                    before = [i for i in range(j) if lines[i][0] == lines[k][0]]
+                    after = [i for i in range(j, len(lines)) if lines[i][0] == lines[k][0]]
+                    if k == (before[-1] if before else after[0]) and reaches(j, lines, seen):
+                        return True
+            return False
+
+        want = [x for k in range(len(lines)) for x in lines[k][2] if reaches(k, lines, set()) and S.literal_score(x) >= 0.4]
+        assert values(text) == want, text
+
+
+def test_long_texts_take_linear_time():
+    for part in ("a+", "pwd=[a=[", 'pwd="""', "pwd='", "k=pwd\npwd=k\n", "pwd(", "<pwd>", "pwd ", "+"):
+        began = time.perf_counter()
+        S.lexed_spans("pwd=" + part * (1_000_000 // len(part)))
+        assert time.perf_counter() - began < 10, part
+
+
 def test_lexer_leaves_harmless_values():
     for text in [f'password_hint = "{TOKEN}"', 'password = "changeme"', 'password = "${PASSWORD}"', 'secret = "two words only here"', "token == value12345", "see https://secret.example.org/abcdefgh", f'colour = "{TOKEN}"', 'token_count = "1234567890"']:
         assert values(text) == [], text

@@ -210,16 +210,18 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | N
     stay.
     """
     classifier = fit_classifier(labelled)
-    small = materialise(with_membership(docs.select("text"), classifier).select("n_tokens", "posterior"), "mix-members")
+    # memberships are computed once, beside the rows, and read back
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"], docs["text"])
+    held = materialise(with_membership(rows, classifier).select("row", "n_tokens", "posterior"), "mix-members")
     if keep_all and targets is None:
-        own = small.agg(*[F.sum(F.col("n_tokens") * F.get("posterior", F.lit(k))).alias(f"e{k}") for k in range(len(classifier.domains))]).first()
+        own = held.agg(*[F.sum(F.col("n_tokens") * F.get("posterior", F.lit(k))).alias(f"e{k}") for k in range(len(classifier.domains))]).first()
         targets = gentle({x: own[f"e{k}"] or 0.0 for k, x in enumerate(classifier.domains)}, most)
-    rate, report = fit_rates(small, classifier.domains, targets, total)
+    rate, report = fit_rates(held, classifier.domains, targets, total)
     if keep_all:
         corners = corner_rates(report, len(classifier.domains))
         least = max(min(corners), max(corners) / (2 * most))
         rate = F.least(F.greatest(F.lit(1.0), rate / F.lit(least if least > 0 else 1.0)), F.lit(2.0 * most))
-    full = with_membership(docs, classifier).withColumn("_rate", rate)
-    copies = F.floor("_rate") + (unit_hash("doc_id", "text") < F.col("_rate") - F.floor("_rate")).cast("long")
-    kept = full.withColumn("_copies", copies).where("_copies > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*[kept[c] for c in docs.columns])
+    rated = held.select("row", rate.alias("rate"))
+    copies = F.floor("rate") + (unit_hash("row.doc_id", "row.text") < F.col("rate") - F.floor("rate")).cast("long")
+    each = F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies))
+    return rated.select("row", F.explode(each)).select("row.*")

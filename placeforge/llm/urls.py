@@ -95,12 +95,17 @@ def with_features(urls: DataFrame) -> DataFrame:
 
 
 def suffix_statistics(urls: DataFrame, label: str) -> DataFrame:
-    """suffix, suffix_rows (log of its rows), suffix_blocked (smoothed share of blocked labels) over all rows."""
-    labelled = F.col(label).isNotNull()
+    """suffix, suffix_rows (log of its rows), blocked and labelled (how many) over all rows."""
     return urls.groupBy("suffix").agg(
-        F.log1p(F.count(F.lit(1))).alias("suffix_rows"),
-        ((F.coalesce(F.sum(F.col(label)), F.lit(0.0)) + 1) / (F.count_if(labelled) + 2)).alias("suffix_blocked"),
-    )
+        F.log1p(F.count(F.lit(1))).alias("suffix_rows"), F.coalesce(F.sum(F.col(label)), F.lit(0.0)).alias("blocked"), F.count_if(F.col(label).isNotNull()).alias("labelled"),
+    )
+
+
+def with_suffix(urls: DataFrame, stats: DataFrame, label: str | None = None) -> DataFrame:
+    """Adds suffix_rows and suffix_blocked, the smoothed share of blocked labels; a row's own ``label`` is left out of it."""
+    own, one = (F.col(label), 1) if label else (F.lit(0.0), 0)
+    full = urls.join(stats, "suffix", "left").fillna({"suffix_rows": 0.0, "blocked": 0.0, "labelled": 0})
+    return full.withColumn("suffix_blocked", (F.col("blocked") - own + 1) / (F.col("labelled") - one + 2)).drop("blocked", "labelled")
 
 
 Tree = list  # nested: [feature, threshold, left, right] or a leaf's value
@@ -235,8 +240,8 @@ def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None
         given = labelled.select(F.lit(None).cast("long").alias("page_id"), "url", F.col("label").cast("double").alias("label"))
         known = learn = with_features(with_parts(given))
     stats = suffix_statistics(known, "label")
-    fitted = train(learn.join(stats, "suffix"))
-    full = scored.join(stats, "suffix", "left").fillna({"suffix_rows": 0.0, "suffix_blocked": 0.5})
+    fitted = train(with_suffix(learn, stats, "label"))
+    full = with_suffix(scored, stats)
     score = 1 / (1 + F.exp(-margin_column(fitted)))
     return full.select(
         "page_id", "host", "path", "rule",

@@ -88,7 +88,7 @@ def test_tree_search_is_exact(spark):
     whole = lambda v: [math.floor(256 * float(np.float32(c))) for c in v]
     want = plain(rows, 50, 5, lambda a, b: sum(x * y for x, y in zip(whole(a), whole(b), strict=True)), zero=True)
     data = frame(spark, rows)
-    for tree_rows, page_rows in ((8192, 64), (100, 7)):
+    for tree_rows, page_rows in ((8192, 64), (100, 7), (40, 16)):
         got = lists(mtree.search(data, data.where("vec_id % 50 = 0"), 5, tree_rows=tree_rows, page_rows=page_rows))
         assert got == want
 
@@ -105,6 +105,32 @@ def test_bounds_save_distances():
         assert sorted(s)[::-1][:5] == best[k][0].tolist()
 
 
+def test_clustered_queries_leave_trees_out(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((20, 8))
+    centres /= np.sqrt((centres**2).sum(axis=1))[:, None]
+    x = np.concatenate([8 * c + 0.05 * rng.standard_normal((100, 8)) for c in centres])[rng.permutation(2000)]
+    rows = [(i, v) for i, v in enumerate(x.astype(np.float32).tolist())]
+    data = frame(spark, rows)
+    want = plain(rows, 50, 5, lambda a, b: int(sum(math.floor(256 * float(np.float32(p))) * math.floor(256 * float(np.float32(q))) for p, q in zip(a, b, strict=True))), zero=True)
+    assert lists(mtree.search(data, data.where("vec_id % 50 = 0"), 5, tree_rows=100, page_rows=20)) == want
+    pages, spaces = mtree.index(data, 100, 20)
+    regions = mtree.regions_of(pages)
+    trees = sum(n for _, n in regions[8].values())
+    fifth = {q: v[-1][1] for q, v in want.items()}
+    asked = spark.createDataFrame([(8, q, x[q].astype(np.float32).astype(float).tolist(), fifth[q]) for q in fifth], "dim int, qid long, v array<double>, least long")
+    assert mtree.visits(asked, spaces, regions, first=False).count() < 0.2 * trees * len(fifth)
+    assert trees >= 15
+
+
+def test_one_id_with_many_vectors_hides_no_other(spark):
+    near = [(700, [10.0 + k / 100, 0.0]) for k in range(60)]
+    rows = [(0, [1.0, 0.0]), *[(k, [k / 10, 1.0]) for k in range(1, 12)], *near]
+    want = plain(rows, 50, 5, lambda a, b: sum(math.floor(256 * float(np.float32(p))) * math.floor(256 * float(np.float32(q))) for p, q in zip(a, b, strict=True)), zero=True)
+    data = frame(spark, rows)
+    assert lists(mtree.search(data, data.where("vec_id % 50 = 0"), 5)) == want
+
+
 def test_empty(spark):
     data = frame(spark, [])
     assert pstable.search(data, data).count() == 0

@@ -66,5 +66,22 @@ def bounded_sample(rows: DataFrame, most: int, *by: Column | str, size: int | No
     return near.orderBy(unit_hash(*by)).limit(most)
 
 
+#: At most so many keys are frequent.
+FREQUENT = 10_000
+
+
+def join_by_count(rows: DataFrame, of_key: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """The inner join of ``rows`` with ``of_key``, a row per key that holds the ``count`` of its rows.
+
+    Keys of more than a ``FREQUENT``-th of ``total``, the number of rows, are
+    fewer than ``FREQUENT``: they are broadcast, so that their rows stay where
+    they are.  The others' rows are few per key, and shuffled.
+    """
+    floor = max(100, -(-total // FREQUENT))
+    many = F.broadcast(of_key.where(F.col(count) > floor))
+    few = rows.join(F.broadcast(of_key.where(F.col(count) > floor).select(key)), key, "left_anti")
+    return rows.join(many, key).unionByName(few.join(of_key.where(F.col(count) <= floor), key))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeforge.llm.common import materialise, words_of
+from placeforge.llm.common import join_by_count, materialise, words_of
 from placeforge.llm.simhash import SEED, components, links, majority
 
 SHINGLE = 5
@@ -260,7 +260,7 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = materialise(classes.where("n > 0").groupBy("fp").agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("many")), "near-fps")
     a, b = (least.select(F.col("fp").alias(k), F.col("least").alias(f"class_{k}")) for k in "ab")
     across = links(least.select("fp")).join(a, "a").join(b, "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-    within = classes.where("n > 0").select("fp", F.col("class").alias("a")).join(least.where("many > 1").select("fp", F.col("least").alias("b")), "fp").select("a", "b")
+    within = join_by_count(classes.where("n > 0").select("fp", F.col("class").alias("a")), least.where("many > 1").withColumnRenamed("least", "b"), "fp", "many", classes.count()).select("a", "b")
     edges = verified(across.unionByName(within))
     for turn in range(ROUNDS + 1):
         known = met.join(grouped(edges), "class", "left").select("s", "class", "n", F.coalesce("component", "class").alias("c"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeforge.llm.common import materialise, words_of
+from placeforge.llm.common import join_by_count, materialise, words_of
 
 SEED = 42
 MAX_DISTANCE = 4
@@ -265,6 +265,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = MAX_D
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = linked.join(least, "root").select("fp", "component_id")
     known = classes.join(of_class, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), "n_class")
-    return prints.join(known, "fp").select(
+    return join_by_count(prints, materialise(known, "simhash-classes"), "fp", "n_class", prints.count()).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_class"
     )

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeforge.llm.common import unit_hash
+from placeforge.llm.common import bounded_sample
 from placeforge.llm.vectors import best_rows, matrix, top, usable
 
 SAMPLE_ROWS, SAMPLE_QUERIES, MOST_PROBES = 2000, 200, 64
@@ -145,12 +145,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     rows, asked = rows.distinct(), asked.distinct()
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     kinds = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("scale")).collect()  # a row per length
-    share = F.lit(1.0)
-    for r in kinds:
-        share = F.when(F.col("dim") == r["dim"], min(1.0, SAMPLE_ROWS / r["n"])).otherwise(share)
-    sample: dict[int, list] = {r["dim"]: [] for r in kinds}
-    for r in rows.where(unit_hash("vec_id") < share).select("dim", "v").toLocalIterator():  # so bounded
-        sample[r["dim"]].append(r["v"])
+    sample = {r["dim"]: [x["v"] for x in bounded_sample(rows.where(F.col("dim") == r["dim"]), SAMPLE_ROWS, "vec_id", "v", size=r["n"]).select("v").collect()] for r in kinds}
     by_dim = {r["dim"]: fit(np.array(sample[r["dim"]]).reshape(-1, r["dim"]), r["n"], r["scale"], k, recall) for r in kinds}
 
     def spread(batches: Iterator[pa.RecordBatch], query: bool) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeforge.llm.common import materialise, unit_hash
+from placeforge.llm.common import bounded_sample, materialise
 
 #: Bound of the labelled rows that the trees are fitted on.
 MAX_LABELLED = 40_000
@@ -128,12 +128,11 @@ def margin_column(model: dict) -> Column:
 def train(labelled: DataFrame, max_rows: int = MAX_LABELLED, rounds: int = ROUNDS, depth: int = DEPTH, features: tuple[str, ...] = FEATURES) -> dict:
     """Boosted trees for ``label`` (1 blocked, 0 allowed) of rows with ``features`` and ``url``.
 
-    Rows are chosen by their url's hash with probability max_rows / rows, all of
-    them while there are no more.  Without both labels the model is constant.
+    Rows are chosen by their url's hash, ``max_rows`` at most, repeated urls one
+    by one; all of them while there are no more.  Without both labels the model is constant.
     """
     size = labelled.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    chosen = labelled if size <= max_rows else labelled.where(unit_hash("url") < F.lit(max_rows / size))
-    chosen = materialise(chosen.select("label", *features), "url-sample")
+    chosen = materialise(bounded_sample(labelled, max_rows, "url", size=size).select("label", *features), "url-sample")
     cuts_of = [F.percentile_approx(f, [k / BINS for k in range(1, BINS)], 2000).alias(f) for f in features]
     first = chosen.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("y"), *cuts_of).first()
     n, y = first["n"], first["y"]
@@ -232,7 +231,7 @@ def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None
     texts = F.array(*[F.lit(r.text) for r in rules]) if rules else F.array(F.lit(""))
     parts = parts.withColumn("_ruled", F.get(verdicts, F.col("_k"))).withColumn("rule", F.get(texts, F.col("_k")))
     own = F.when(F.col("_ruled").isNotNull(), (F.col("_ruled") == "block").cast("double"))
-    scored = with_features(parts.withColumn("label", own))
+    scored = materialise(with_features(parts.withColumn("label", own)), "url-features")  # read for statistics, the sample and the scores
     if labelled is None:
         known = scored
         learn = scored.where(F.col("label").isNotNull())

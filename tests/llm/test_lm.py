@@ -202,3 +202,34 @@ def test_ids_of_any_type(spark):
     docs = spark.createDataFrame([(f"id-{k}", "some text again some text") for k in range(30)], "doc_id string, text string")
     got = lm.score(docs).collect()
     assert {r.doc_id for r in got} == {f"id-{k}" for k in range(30)} and all(r.held_out == lm.held_out(r.doc_id) for r in got)
+
+
+def test_mixer_learns_from_every_document(spark, monkeypatch):
+    """1.3 million tokens, by one shard and by four: all decisions are counted, and the scores are near."""
+    symbols, _, _, bits, *_ = model(7)
+    rng = np.random.default_rng(8)
+    rows, decisions = [], 0
+    for k in range(52):
+        tokens = np.minimum(rng.geometric(0.08, 25_000), symbols.size) - 1
+        flags = lm.copy_flags(tokens, np.zeros(1, int))
+        rows.append((k, tokens.astype(np.uint16).tobytes(), flags.tobytes()))
+        decisions += int(symbols.length[tokens[(flags & lm.RIGHT) == 0]].sum() + ((flags & lm.PREDICTED) > 0).sum())
+    known = spark.createDataFrame(rows, "doc_id long, syms binary, flags binary").repartition(4)
+    states = lm._count_contexts(known, symbols, bits, 52 * 25_000)
+    stream = next(lm._streams([rows[0][1]], [rows[0][2]], symbols, bits))[0]
+    score = lambda m: lm.score_stream(stream, states, m, [m.costs(g) for g in range(lm.GATES)], True).sum()
+    found = []
+    for least in (10**9, 325_000):
+        monkeypatch.setattr(lm, "SHARD_TOKENS", least, raising=False)
+        mixer = lm._learn_mixer(known, spark.sparkContext.broadcast((symbols, states)), bits, 52 * 25_000)
+        assert mixer.seen.sum() == decisions
+        found.append(score(mixer))
+    assert found[1] == pytest.approx(found[0], rel=0.02) and found[0] > score(lm.Mixer(lm.GATES, lm.STREAM_LEVELS, lm.CONTEXTS + 1))
+
+
+def test_spelling_learns_from_every_word(spark):
+    words = sorted({b"%x" % (k * 2654435761 % 2**32) for k in range(130_000)})
+    held = spark.createDataFrame([(lm._join(words[k::2]), np.ones(len(words[k::2]), np.int64).tobytes()) for k in (0, 1)], "words binary, totals binary")
+    _, mixer = lm._learn_spelling(held, lm.Symbols([], {}, (1, 1)), len(words))
+    # what comes last in a word is no shared prefix: each word has its own decisions at its end
+    assert mixer.seen[(lm.POSITIONS - 1) * 8].sum() > len(words) * 1.5

@@ -12,9 +12,10 @@ calibrated log-odds scores all documents.  A round that does not make the combin
 better on them is undone, and the exchange ends.
 
 The labelled sample is bounded (``MAX_LABELLED`` rows, by hash).  The pool is
-every unlabelled document: the features of all of them are written once, each
-task picks its surest ones, and the surest of these come to the driver
-(``CONFIDENT`` a view and round, by calibrated log-odds beyond ``SURE``).
+every unlabelled document: the features of all documents are written once, no
+text is moved; in each round the log-odds of all are written, those beyond
+``SURE`` lose the labelled ones by a join of ids, and the features of the surest
+come to the driver (``CONFIDENT`` a view and round).
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeforge.llm.common import bounded_sample, materialise, words_of
+from placeforge.llm.common import bounded_sample, drop_table, materialise, words_of
 
 MAX_LABELLED = 6000
 WORD_BITS, ROUNDS, APART = 18, 2, 4.0
@@ -309,16 +310,17 @@ _FEATURES = "name string, good int, words binary, shapes binary, meta binary"
 
 
 def _features(rows: DataFrame) -> DataFrame:
-    """name (hash of the row), good, and the views, of rows with the columns of ``_plain`` and ``good``."""
+    """name (hash of the row), good, and the views, of rows with the columns of ``_plain`` and ``good``; then doc_id."""
     named = rows.withColumn("name", F.xxhash64("doc_id", "text", "lang", "source", "n_chars").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _views(batch)
             held = [[x.astype(np.int32).tobytes() for x in v.words], [x.astype(np.float32).tobytes() for x in v.shapes], [x.astype(np.float32).tobytes() for x in v.meta]]
-            yield pa.RecordBatch.from_arrays([batch.column(6), batch.column(5), *[pa.array(x, pa.binary()) for x in held]], ["name", "good", "words", "shapes", "meta"])
+            yield pa.RecordBatch.from_arrays([batch.column(6), batch.column(5), *[pa.array(x, pa.binary()) for x in held], batch.column(0)], ["name", "good", "words", "shapes", "meta", "doc_id"])
 
-    return named.select(*_COLUMNS, "good", "name").mapInArrow(run, _FEATURES)
+    kind = named.schema["doc_id"].dataType.simpleString()
+    return named.select(*_COLUMNS, "good", "name").mapInArrow(run, f"{_FEATURES}, doc_id {kind}")
 
 
 def _read(batch: pa.RecordBatch | pa.Table) -> Views:
@@ -329,34 +331,28 @@ def _read(batch: pa.RecordBatch | pa.Table) -> Views:
     return Views([np.frombuffer(x, np.int32) for x in cols[0]], stack(cols[1]), stack(cols[2]))
 
 
-def pick_from(features: DataFrame) -> Pick:
-    """Picks from a table of features: the surest of each task, then the surest of all; equal rows once."""
+def pick_from(features: DataFrame, known: DataFrame | None = None) -> Pick:
+    """Picks from a table of features the surest rows without a label, whose doc_id is not in ``known`` either; equal rows once."""
 
     def pick(model: Model, share: tuple[int, int], taken: set) -> tuple[list, Views, np.ndarray, np.ndarray]:
         held = features.sparkSession.sparkContext.broadcast((model, taken))  # of bounded size
+        kind = features.schema["doc_id"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, taken = held.value
-            best: pa.Table | None = None
             for batch in batches:
-                batch = batch.filter(pa.array([x not in taken for x in batch.column(0).to_pylist()], pa.bool_()))
                 odds = model.calibrated(_read(batch))
-                own = pa.Table.from_batches([batch]).append_column("a", pa.array(odds[0])).append_column("b", pa.array(odds[1]))
-                best = own if best is None else pa.concat_tables([best, own])
-                names = best["name"].to_pylist()
-                first = np.array(sorted({n: i for i, n in reversed(list(enumerate(names)))}.values()), np.int64)
-                best = best.take(pa.array(first))
-                keep = np.zeros(best.num_rows, bool)
-                for c in ("a", "b"):
-                    keep |= surest(best[c].to_numpy(), share) >= 0
-                best = best.filter(pa.array(keep))
-            if best is not None:
-                yield from best.combine_chunks().to_batches()
-
-        found = materialise(features.where("good IS NULL").mapInArrow(run, f"{_FEATURES}, a double, b double"), "quality-surest").dropDuplicates(["name"])
-        ends = [found.orderBy(*by).limit(n) for c in ("a", "b") for by, n in (((F.desc(c), "name"), share[0]), ((F.asc(c), "name"), share[1]))]
-        rows = ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).dropDuplicates(["name"]).toArrow().sort_by("name")  # twice ``CONFIDENT``
-        return rows["name"].to_pylist(), _read(rows), surest(rows["a"].to_numpy(), share), surest(rows["b"].to_numpy(), share)
+                sure = (np.abs(odds[0]) > SURE) | (np.abs(odds[1]) > SURE)
+                sure &= np.array([x not in taken for x in batch.column(0).to_pylist()], bool)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), *map(pa.array, odds)], ["name", "doc_id", "a", "b"]).filter(pa.array(sure))
+
+        sure = materialise(features.where("good IS NULL").mapInArrow(run, f"name string, doc_id {kind}, a double, b double"), "quality-sure")
+        rest = sure if known is None else sure.join(known.select("doc_id"), "doc_id", "left_anti")
+        pool = materialise(rest.select("name", "a", "b").dropDuplicates(["name"]), "quality-pool")
+        ends = [pool.orderBy(*by).limit(n) for c in ("a", "b") for by, n in (((F.desc(c), "name"), share[0]), ((F.asc(c), "name"), share[1]))]
+        best = ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).dropDuplicates(["name"]).toArrow().sort_by("name")  # twice ``CONFIDENT``
+        found = features.where(F.col("name").isin(best["name"].to_pylist())).drop("doc_id").dropDuplicates(["name"]).toArrow().sort_by("name")
+        return best["name"].to_pylist(), _read(found), *(surest(best[c].to_numpy(), share) for c in "ab")
 
     return pick
 
@@ -374,12 +370,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ro
     order = np.argsort([zlib.crc32(x.encode()) for x in found["name"].to_pylist()], kind="stable")
     found = found.take(pa.array(order))
     y = np.array(found["good"].to_pylist(), np.float64)
-    pick = None
+    pick = features = None
     if rounds and len(set(y.tolist())) == 2:
         # labelled documents beyond the sample are no pool
-        rest = _plain(docs).join(known.select("doc_id", F.lit(1).alias("good")), "doc_id", "left").select(*_COLUMNS, "good").where("good IS NULL")
-        pick = pick_from(materialise(_features(rest), "quality-pool"))
-    return co_train(_read(found), y, pick, rounds)
+        every = _plain(docs).withColumn("good", F.lit(None).cast("int")).select(*_COLUMNS, "good")
+        features = materialise(_features(every), "quality-features")
+        pick = pick_from(features, known)
+    model = co_train(_read(found), y, pick, rounds)
+    if features is not None:
+        drop_table(features)
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

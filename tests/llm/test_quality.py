@@ -114,6 +114,35 @@ def test_distributed_choice_is_the_local_one(spark):
     assert not set(again) & set(names)
 
 
+def test_the_pool_is_found_without_moving_texts(frames, spark, monkeypatch):
+    """Labelled ids leave the pool by a join that sees no text, whatever Spark broadcasts."""
+    docs, labels, _, _ = frames
+    plans, write = [], Q.materialise
+    monkeypatch.setattr(Q, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    names = []
+    pick_from = Q.pick_from
+
+    def spy(features, *known):
+        pick = pick_from(features, *known)
+
+        def noted(*given):
+            out = pick(*given)
+            names.extend(out[0])
+            return out
+
+        return noted
+
+    monkeypatch.setattr(Q, "pick_from", spy)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        Q.fit(docs, labels.limit(300))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for plan in plans:
+        assert not any("Exchange" in line and "SinglePartition" not in line for line in plan.splitlines()) or "text" not in plan
+    assert names
+
+
 def test_labelled_rows_of_one_id_are_bounded(spark):
     docs = spark.range(3000).selectExpr("7L AS doc_id", "concat('t ', id) AS text", "'en' AS lang", "'s' AS source", "3L AS n_chars")
     labels = spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int")

@@ -140,12 +140,12 @@ def train(labelled: DataFrame, max_rows: int = MAX_LABELLED, rounds: int = ROUND
     if not 0 < y < n:
         return model
     cuts = {f: sorted(set(first[f])) for f in features}
-    binned = chosen.select(
+    bins = chosen.select(
         "label",
         *features,
-        F.array(*[sum(((F.col(f) > F.lit(float(c))).cast("int") for c in cuts[f]), F.lit(0)) for f in features]).alias("bins"),
+        F.posexplode(F.array(*[sum(((F.col(f) > F.lit(float(c))).cast("int") for c in cuts[f]), F.lit(0)) for f in features])).alias("f", "bin"),
     )
-    binned = materialise(binned, "url-bins")
+    binned = materialise(bins, "url-bins")  # a row for each row and feature, made once for all levels
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-margin_column(model)))
         tree: Tree | float = 0.0
@@ -155,7 +155,7 @@ def train(labelled: DataFrame, max_rows: int = MAX_LABELLED, rounds: int = ROUND
         for d in range(depth):
             node = _node_column(splits)
             sums = (
-                binned.select(node.alias("node"), (F.col("label") - p).alias("g"), (p * (1 - p)).alias("h"), F.posexplode("bins").alias("f", "bin"))
+                binned.select(node.alias("node"), (F.col("label") - p).alias("g"), (p * (1 - p)).alias("h"), "f", "bin")
                 .groupBy("node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # nodes x features x bins
             )
             hist: dict[str, dict[int, dict[int, tuple[float, float]]]] = {}

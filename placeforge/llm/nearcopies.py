@@ -14,7 +14,8 @@
 4. Classes that meet and are not yet in one component are tested: in some rounds
    each class against one other only, then all pairs that are left.  A large
    group of near copies costs about its size and not its square.
-5. Pairs whose sketches differ in more places than such sets can are left out;
+5. Pairs whose sketches differ in more places than such sets can are left out,
+   by sketches of fixed size (``BRIEF`` bits) where all pairs of a shingle meet;
    the others are tested by their sets, and links have 0.8 or more.
 """
 
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeforge.llm.common import join_by_count, materialise, words_of
+from placeforge.llm.common import drop_table, join_by_count, materialise, words_of
 from placeforge.llm.simhash import SEED, components, links, majority
 
 SHINGLE = 5
@@ -40,6 +41,8 @@ NUM, DEN = 4, 5
 SHARE, PART_HASHES, CHUNK_CHARS = 0.3, 4_000_000, 40_000_000
 #: Rounds in which a class is tested against one other.
 ROUNDS = 2
+#: Bits of the sketches that go with the classes to where all pairs of a shingle meet.
+BRIEF = 512
 #: Bits of the filter over keys before a join.
 KEY_BITS = 1 << 22
 _LIMIT = np.uint64(int(SHARE * 2**64))
@@ -89,6 +92,11 @@ def sketch(own: np.ndarray) -> bytes:
     return np.packbits(np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
 
 
+def brief(own: np.ndarray) -> list[int]:
+    """Parities of a set's shingles by their low bits, in 64-bit numbers."""
+    return np.packbits(np.bincount((own & np.uint64(BRIEF - 1)).astype(np.int64), minlength=BRIEF).astype(np.uint8) & 1).view(np.int64).tolist()
+
+
 def may_be_similar(x: bytes, y: bytes, n: int, m: int) -> bool:
     """False only for sets (of sizes n and m) that are less similar: sketches differ in no more places than the sets."""
     p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
@@ -138,12 +146,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     sets = materialise(_sets(docs, wanted).join(shown, "key").select("class", "own"), "near-sets")
     both = likely.join(sets.select(F.col("class").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("own").alias("y")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
-    return materialise(shared.where(F.col("i") * DEN >= (F.col("n") - F.col("i")) * NUM).select("a", "b").distinct(), "near-links")
+    found = materialise(shared.where(F.col("i") * DEN >= (F.col("n") - F.col("i")) * NUM).select("a", "b").distinct(), "near-links")
+    wanted.destroy()
+    for done in (likely, shown, sets):
+        drop_table(done)
+    return found
 
 
 def _prints(docs: DataFrame) -> DataFrame:
     """A row for each of ``docs``; the set's parts are null but in the first row of a class that a task meets."""
-    ddl = "key bigint, class bigint, n int, fp bigint, sketch binary, chunk bigint, counted binary, others binary"
+    ddl = "key bigint, class bigint, n int, fp bigint, sketch binary, brief array<bigint>, chunk bigint, counted binary, others binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, chars, met = TaskContext.get().partitionId() << 24, 0, set()
@@ -156,16 +168,16 @@ def _prints(docs: DataFrame) -> DataFrame:
                     of = xxhash.xxh64_intdigest(own.tobytes(), SEED)
                     of -= (of >> 63) << 64
                     if of in met:
-                        rows.append((of, len(own), 0, None, chunk, None, None))
+                        rows.append((of, len(own), 0, None, None, chunk, None, None))
                         continue
                     met.add(of)
                     counted, others = stored(own)
                     fp = majority(own)
-                    rows.append((of, len(own), fp - ((fp >> 63) << 64), sketch(own), chunk, counted.tobytes(), others.tobytes()))
+                    rows.append((of, len(own), fp - ((fp >> 63) << 64), sketch(own), brief(own), chunk, counted.tobytes(), others.tobytes()))
                     chars += len(text or "")
                     if chars >= CHUNK_CHARS:
                         chars, chunk = 0, chunk + 1
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
                 cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], [x.split()[0] for x in ddl.split(", ")])
 
@@ -244,13 +256,16 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     are ignored.
     """
     prints = materialise(_prints(docs), "near-prints")
-    first = F.min(F.when(F.col("sketch").isNotNull(), F.struct("key", "n", "fp", "sketch"))).alias("x")
+    first = F.min(F.when(F.col("sketch").isNotNull(), F.struct("key", "n", "fp", "sketch", "brief"))).alias("x")
     classes = materialise(prints.groupBy("class").agg(first).select("class", "x.*"), "near-classes")
     met = materialise(_met(prints), "near-met")
     sizes = lambda x, y: F.least(x, y) * DEN >= F.greatest(x, y) * NUM
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return _verified(materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "near-pairs"), docs, classes)
+        drawn = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "near-pairs")
+        found = _verified(drawn, docs, classes)
+        drop_table(drawn)
+        return found
 
     def grouped(edges: DataFrame) -> DataFrame:
         found = components(edges).select(F.col("id").alias("class"), F.col("root").alias("component"))
@@ -273,7 +288,13 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             drawn = known.join(leaders, "s").where("c <> d").where(sizes(F.col("n"), F.col("m")))
             pairs = drawn.groupBy("class").agg(F.min(F.struct("h", "b")).alias("x")).select(F.col("class").alias("a"), F.col("x.b").alias("b"))
         else:
-            x, y = (known.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("class", "n", "c")]) for k in "ab")
-            pairs = x.join(y, "s").where("c_a < c_b").where(sizes(F.col("n_a"), F.col("n_b"))).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+            words = range(BRIEF // 64)
+            full = known.join(classes.select("class", *[F.col("brief")[k].alias(f"w{k}") for k in words]), "class")
+            x, y = (full.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("class", "n", "c", *(f"w{i}" for i in words))]) for k in "ab")
+            apart = sum((F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in words), F.lit(0))
+            near = apart * (NUM + DEN) <= (F.col("n_a") + F.col("n_b")) * (DEN - NUM)
+            pairs = x.join(y, "s").where("c_a < c_b").where(sizes(F.col("n_a"), F.col("n_b"))).where(near).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
         edges = materialise(edges.unionByName(verified(pairs)), "near-links")
+        drop_table(known)
+    drop_table(met)
     return prints.select("key", "class"), grouped(edges)

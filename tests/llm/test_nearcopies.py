@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline as C
+import numpy as np
+from placeforge.llm import nearcopies as N
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -71,3 +73,19 @@ def test_sketches_never_part_similar_sets():
         assert may or not near
         apart += not may
     assert apart > 50
+
+
+def test_brief_sketches_leave_out_no_similar_pair_and_few_others():
+    """Sets at the least similarity never differ in more places than allowed; sets that share a passage mostly do."""
+    rng = np.random.default_rng(11)
+    differ = lambda x, y: int(np.bitwise_count((np.array(N.brief(x)) ^ np.array(N.brief(y))).view(np.uint64)).sum()) * (N.NUM + N.DEN)
+    left = 0
+    for n in (1, 5, 64, 300, 900):
+        for _ in range(20):
+            both = rng.integers(0, 2**64, n, np.uint64, endpoint=False)
+            x, y = (np.unique(np.concatenate([both, rng.integers(0, 2**64, n // 8, np.uint64)])) for _ in "xy")
+            assert differ(x, y) <= (len(x) + len(y)) * (N.DEN - N.NUM)
+            z = np.unique(np.concatenate([both[: n // 3], rng.integers(0, 2**64, n, np.uint64)]))
+            left += differ(x, z) <= (len(x) + len(z)) * (N.DEN - N.NUM)
+    assert left < 5
+    assert N.brief(np.zeros(0, np.uint64)) == [0] * (N.BRIEF // 64)

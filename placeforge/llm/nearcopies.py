@@ -11,9 +11,13 @@
    shingles of the least ``SHARE`` of hashes by the number of documents that hold
    them, which is counted over the whole corpus, then the others.  Shingles that
    only one document holds meet nothing and go no further.
-4. Classes that meet and are not yet in one component are tested: in some rounds
-   each class against one other only, then all pairs that are left.  A large
-   group of near copies costs about its size and not its square.
+4. Few of these pairs need a test.  Similar sets mostly have the least shingles of
+   some orders in common (MinHash): each class is tested against the leaders of
+   its runs of least shingles (``RUNS``: long ones part what is similar from what
+   is nearly so), in rounds with other leaders for as long as that links many.
+   Then all pairs of 3 that meet and are not yet in one component are tested.  A
+   large group of near copies costs about its size and not its square.  Components
+   go on as stars, so that no round sees an earlier one's links again.
 5. Pairs whose sketches differ in more places than such sets can are left out,
    by sketches of fixed size (``BRIEF`` bits) where all pairs of a shingle meet;
    the others are tested by their sets, and links have 0.8 or more.
@@ -39,8 +43,11 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: Share of the hashes whose documents are counted; hashes counted by one task; a chunk closes at so many characters.
 SHARE, PART_HASHES, CHUNK_CHARS = 0.3, 4_000_000, 40_000_000
-#: Rounds in which a class is tested against one other.
-ROUNDS = 2
+#: Factors that make an order of shingles each; runs of orders, by start and length.
+ORDERS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0xE7037ED1A0B428DB], np.uint64)
+RUNS = [(a, n) for n in (1, 3, 6) for a in (0, 2, 4, 6)]
+#: Rounds of leaders, at most; they end when under one in so many pairs that sketches allow is a link.
+ROUNDS, WORTH = 6, 2
 #: Bits of the sketches that go with the classes to where all pairs of a shingle meet.
 BRIEF = 512
 #: Bits of the filter over keys before a join.
@@ -92,6 +99,15 @@ def sketch(own: np.ndarray) -> bytes:
     return np.packbits(np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
 
 
+def least(own: np.ndarray) -> list[int]:
+    """A number for each run of a set's least shingles by the orders; sets have it in common as often as they are similar, to the run's length."""
+    if not len(own):
+        return []
+    first = [int(x) for x in (own[:, None] * ORDERS).min(axis=0)]
+    runs = [first[a : a + n] + first[: max(0, a + n - len(first))] for a, n in RUNS]
+    return [xxhash.xxh64_intdigest(np.array([a, *run], np.uint64).tobytes(), SEED) - (1 << 63) for (a, _), run in zip(RUNS, runs, strict=True)]
+
+
 def brief(own: np.ndarray) -> list[int]:
     """Parities of a set's shingles by their low bits, in 64-bit numbers."""
     return np.packbits(np.bincount((own & np.uint64(BRIEF - 1)).astype(np.int64), minlength=BRIEF).astype(np.uint8) & 1).view(np.int64).tolist()
@@ -127,8 +143,8 @@ def _sets(docs: DataFrame, wanted=None) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "key bigint, own array<bigint>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes at the least similarity or above."""
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, int]:
+    """The pairs (a, b) of classes at the least similarity or above, and how many the sketches allow."""
     x, y = (classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
     drawn = pairs.join(x, "a").join(y, "b").select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b")
 
@@ -148,14 +164,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
     found = materialise(shared.where(F.col("i") * DEN >= (F.col("n") - F.col("i")) * NUM).select("a", "b").distinct(), "near-links")
     wanted.destroy()
+    allowed = likely.count()
     for done in (likely, shown, sets):
         drop_table(done)
-    return found
+    return found, allowed
 
 
 def _prints(docs: DataFrame) -> DataFrame:
     """A row for each of ``docs``; the set's parts are null but in the first row of a class that a task meets."""
-    ddl = "key bigint, class bigint, n int, fp bigint, sketch binary, brief array<bigint>, chunk bigint, counted binary, others binary"
+    ddl = "key bigint, class bigint, n int, fp bigint, sketch binary, brief array<bigint>, least array<bigint>, chunk bigint, counted binary, others binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, chars, met = TaskContext.get().partitionId() << 24, 0, set()
@@ -168,16 +185,16 @@ def _prints(docs: DataFrame) -> DataFrame:
                     of = xxhash.xxh64_intdigest(own.tobytes(), SEED)
                     of -= (of >> 63) << 64
                     if of in met:
-                        rows.append((of, len(own), 0, None, None, chunk, None, None))
+                        rows.append((of, len(own), 0, None, None, None, chunk, None, None))
                         continue
                     met.add(of)
                     counted, others = stored(own)
                     fp = majority(own)
-                    rows.append((of, len(own), fp - ((fp >> 63) << 64), sketch(own), brief(own), chunk, counted.tobytes(), others.tobytes()))
+                    rows.append((of, len(own), fp - ((fp >> 63) << 64), sketch(own), brief(own), least(own), chunk, counted.tobytes(), others.tobytes()))
                     chars += len(text or "")
                     if chars >= CHUNK_CHARS:
                         chars, chunk = 0, chunk + 1
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
                 cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], [x.split()[0] for x in ddl.split(", ")])
 
@@ -256,45 +273,60 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     are ignored.
     """
     prints = materialise(_prints(docs), "near-prints")
-    first = F.min(F.when(F.col("sketch").isNotNull(), F.struct("key", "n", "fp", "sketch", "brief"))).alias("x")
+    first = F.min(F.when(F.col("sketch").isNotNull(), F.struct("key", "n", "fp", "sketch", "brief", "least"))).alias("x")
     classes = materialise(prints.groupBy("class").agg(first).select("class", "x.*"), "near-classes")
     met = materialise(_met(prints), "near-met")
     sizes = lambda x, y: F.least(x, y) * DEN >= F.greatest(x, y) * NUM
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> tuple[DataFrame, int]:
         drawn = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "near-pairs")
-        found = _verified(drawn, docs, classes)
+        found, allowed = _verified(drawn, docs, classes)
         drop_table(drawn)
-        return found
-
-    def grouped(edges: DataFrame) -> DataFrame:
-        found = components(edges).select(F.col("id").alias("class"), F.col("root").alias("component"))
-        return found.unionByName(found.select(F.col("component").alias("class"), "component").distinct())
+        return found, allowed
+
+    def stars(found: DataFrame, of: DataFrame | None = None) -> DataFrame:
+        """(class, component) by the links found and, in place of those before them, the components so far."""
+        edges = found if of is None else found.unionByName(of.select(F.col("class").alias("a"), F.col("component").alias("b")))
+        star = components(edges).select(F.col("id").alias("class"), F.col("root").alias("component"))
+        out = materialise(star.unionByName(star.select(F.col("component").alias("class"), "component").distinct()), "near-stars")
+        for done in (found, of):
+            if done is not None:
+                drop_table(done)
+        return out
+
+    many = classes.count()
+
+    def led(of: DataFrame, turn: int) -> DataFrame:
+        """Each class and the leader of each of its runs of least shingles, if that is of another component."""
+        held = classes.join(of, "class", "left").select("class", "n", F.coalesce("component", "class").alias("c"), F.explode("least").alias("s"))
+        first = F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("c").alias("d")))
+        leaders = held.groupBy("s").agg(first.alias("x"), F.count(F.lit(1)).alias("many")).where("many > 1").select("s", "many", "x.b", "x.m", "x.d")
+        met = join_by_count(held, materialise(leaders, "near-leaders"), "s", "many", many * len(RUNS))
+        return met.where("c <> d").where(sizes(F.col("n"), F.col("m"))).select(F.col("class").alias("a"), "b")
 
     # fingerprints: their links, and classes of one fingerprint
-    least = materialise(classes.where("n > 0").groupBy("fp").agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("many")), "near-fps")
-    a, b = (least.select(F.col("fp").alias(k), F.col("least").alias(f"class_{k}")) for k in "ab")
-    across = links(least.select("fp")).join(a, "a").join(b, "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-    within = join_by_count(classes.where("n > 0").select("fp", F.col("class").alias("a")), least.where("many > 1").withColumnRenamed("least", "b"), "fp", "many", classes.count()).select("a", "b")
-    edges = verified(across.unionByName(within))
-    for turn in range(ROUNDS + 1):
-        known = met.join(grouped(edges), "class", "left").select("s", "class", "n", F.coalesce("component", "class").alias("c"))
-        ends = known.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
-        known = materialise(known.join(ends, "s", "left_semi"), "near-known")
-        if turn < ROUNDS:
-            # each class against one of another component that it meets
-            order = F.xxhash64("class", F.lit(turn))
-            leaders = known.groupBy("s").agg(F.min(F.struct(order.alias("h"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))).alias("x")).select("s", "x.*")
-            drawn = known.join(leaders, "s").where("c <> d").where(sizes(F.col("n"), F.col("m")))
-            pairs = drawn.groupBy("class").agg(F.min(F.struct("h", "b")).alias("x")).select(F.col("class").alias("a"), F.col("x.b").alias("b"))
-        else:
-            words = range(BRIEF // 64)
-            full = known.join(classes.select("class", *[F.col("brief")[k].alias(f"w{k}") for k in words]), "class")
-            x, y = (full.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("class", "n", "c", *(f"w{i}" for i in words))]) for k in "ab")
-            apart = sum((F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in words), F.lit(0))
-            near = apart * (NUM + DEN) <= (F.col("n_a") + F.col("n_b")) * (DEN - NUM)
-            pairs = x.join(y, "s").where("c_a < c_b").where(sizes(F.col("n_a"), F.col("n_b"))).where(near).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-        edges = materialise(edges.unionByName(verified(pairs)), "near-links")
-        drop_table(known)
-    drop_table(met)
-    return prints.select("key", "class"), grouped(edges)
+    same = materialise(classes.where("n > 0").groupBy("fp").agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("many")), "near-fps")
+    a, b = (same.select(F.col("fp").alias(k), F.col("least").alias(f"class_{k}")) for k in "ab")
+    across = links(same.select("fp")).join(a, "a").join(b, "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    within = join_by_count(classes.where("n > 0").select("fp", F.col("class").alias("a")), same.where("many > 1").withColumnRenamed("least", "b"), "fp", "many", many).select("a", "b")
+    of = stars(verified(across.unionByName(within))[0])
+    for turn in range(ROUNDS):
+        found, allowed = verified(led(of, turn))
+        worth = found.count() * WORTH >= max(allowed, 1)
+        of = stars(found, of)
+        if not worth:
+            break
+    # all pairs that meet in a shingle and are still apart
+    known = met.join(of, "class", "left").select("s", "class", "n", F.coalesce("component", "class").alias("c"))
+    ends = known.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
+    known = materialise(known.join(ends, "s", "left_semi"), "near-known")
+    words = range(BRIEF // 64)
+    full = known.join(classes.select("class", *[F.col("brief")[k].alias(f"w{k}") for k in words]), "class")
+    x, y = (full.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("class", "n", "c", *(f"w{i}" for i in words))]) for k in "ab")
+    apart = sum((F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in words), F.lit(0))
+    near = apart * (NUM + DEN) <= (F.col("n_a") + F.col("n_b")) * (DEN - NUM)
+    pairs = x.join(y, "s").where("c_a < c_b").where(sizes(F.col("n_a"), F.col("n_b"))).where(near).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    of = stars(verified(pairs)[0], of)
+    for done in (known, met):
+        drop_table(done)
+    return prints.select("key", "class"), of

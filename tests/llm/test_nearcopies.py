@@ -89,3 +89,41 @@ def test_brief_sketches_leave_out_no_similar_pair_and_few_others():
             left += differ(x, z) <= (len(x) + len(z)) * (N.DEN - N.NUM)
     assert left < 5
     assert N.brief(np.zeros(0, np.uint64)) == [0] * (N.BRIEF // 64)
+
+
+def test_a_group_within_nearly_similar_texts_does_not_cost_its_square(spark, monkeypatch):
+    """150 near copies among 900 texts that share most shingles with them but are less similar."""
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(150)]
+    inner = edited(rng, base, 5)
+    texts = list(dict.fromkeys(" ".join(x) for x in [*(edited(rng, base, 5) for _ in range(900)), *(edited(rng, inner, 1) for _ in range(150))]))
+    tested, verify = [], N._verified
+
+    def counted(pairs, *rest):
+        tested.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(N, "_verified", counted)
+    of_class, of_component = N.near_copies(spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(3))
+    own, root = [plain_set(t) for t in texts], list(range(len(texts)))
+    for i in range(len(own)):
+        for j in range(i):
+            if root[i] != root[j] and similar(own[i], own[j]):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    component = {r["class"]: r.component for r in of_component.collect()}
+    got = {r.key: component.get(r["class"], r["class"]) for r in of_class.collect()}
+    assert len({(got[k], root[k]) for k in got}) == len(set(root)) == len(set(got.values()))
+    assert tested[-1] < 100 and sum(tested) < 12 * len(texts), tested  # all pairs that leaders have left: last
+
+
+def test_runs_of_least_shingles():
+    rng = np.random.default_rng(3)
+    same = []
+    for _ in range(200):
+        both = rng.integers(0, 2**64, 300, np.uint64, endpoint=False)
+        x, y = (N.least(np.unique(np.concatenate([both, rng.integers(0, 2**64, 20, np.uint64)]))) for _ in "xy")
+        same.append([a == b for a, b in zip(x, y, strict=True)])
+    for (_, n), share in zip(N.RUNS, np.mean(same, axis=0), strict=True):
+        assert abs(share - (300 / 340) ** n) < 0.15
+    assert N.least(both[:0]) == [] and len(set(N.least(both[:1]))) == len(N.RUNS)
